@@ -306,18 +306,28 @@ def mitre_corners(rings: Column, size: float, other: Column, limit: float = 5.0)
     return F.transform(corners, lambda c: edges(F.array(kite(c))))
 
 
-def touches_mitre_buffer(rings: Column, size: float, other: Column, limit: float = 5.0) -> Column:
-    """Whether ``other`` (edges) meets the mitre buffer of ``rings``."""
-    by_corner = F.exists(
-        mitre_corners(rings, size, other, limit), lambda kite: polygon_distance(kite, other) <= 1e-9
-    )
-    # The corners matter only in the belt that a round buffer misses.
+def touches_mitre_buffers(
+    rings: Column, sizes: list[float], other: Column, limit: float = 5.0
+) -> Column:
+    """For each buffer size, whether ``other`` (edges) meets the mitre buffer of ``rings``."""
+
+    def of_size(gap: Column, size: float) -> Column:
+        # The corners matter only in the belt that a round buffer misses.
+        by_corner = F.exists(
+            mitre_corners(rings, size, other, limit),
+            lambda kite: polygon_distance(kite, other) <= 1e-9,
+        )
+        return F.when(gap <= size, True).when(gap > limit * size, False).otherwise(by_corner)
+
     return let(
-        polygon_distance(edges(rings), other),
-        lambda gap: F.when(gap <= size, True).when(gap > limit * size, False).otherwise(by_corner),
+        polygon_distance(edges(rings), other), lambda gap: F.array(*[of_size(gap, s) for s in sizes])
     )
 
 
+def touches_mitre_buffer(rings: Column, size: float, other: Column, limit: float = 5.0) -> Column:
+    return touches_mitre_buffers(rings, [size], other, limit)[0]
+
+
 def box_gap(px: Column, py: Column, minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
     """Distance from a point to a box: no point of the polygon inside it is nearer."""
     dx = F.greatest(minx - px, F.lit(0.0), px - maxx)

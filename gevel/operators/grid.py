@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from gevel.functions import planar
 from gevel.operators.lookup import bounded
+from gevel.session import materialize
 
 BOX = ["minx", "miny", "maxx", "maxy"]
 CROWDED = 512
@@ -126,14 +127,21 @@ def distinct_shapes(rows: DataFrame, **flags: Column) -> DataFrame:
     )
 
 
-def touching_shapes(shapes: DataFrame, size: float, limit: float = 5.0, cell: float = 25.0) -> DataFrame:
-    """Ordered pairs ``(a_id, b_id)`` of different shapes, ``b`` meeting the buffer of ``a``."""
+def touching_shapes(
+    shapes: DataFrame, sizes: list[float], limit: float = 5.0, cell: float = 25.0
+) -> DataFrame:
+    """Ordered pairs of different shapes, one join for all buffer sizes.
+
+    Returns ``a_id, b_id, touch_0, touch_1, ...``: whether ``b`` meets the
+    buffer of ``a`` of each size.
+    """
     probe = shapes.select("shape_id", "rings", *BOX)
     build = shapes.select("shape_id", planar.edges(F.col("rings")).alias("edges"), *BOX)
-    pairs = box_pairs(probe, build, limit * size, cell).filter("a_shape_id != b_shape_id")
-    return pairs.filter(
-        planar.touches_mitre_buffer(F.col("a_rings"), size, F.col("b_edges"), limit)
-    ).select(F.col("a_shape_id").alias("a_id"), F.col("b_shape_id").alias("b_id"))
+    pairs = box_pairs(probe, build, limit * max(sizes), cell).filter("a_shape_id != b_shape_id")
+    touches = planar.touches_mitre_buffers(F.col("a_rings"), sizes, F.col("b_edges"), limit)
+    return pairs.select(
+        F.col("a_shape_id").alias("a_id"), F.col("b_shape_id").alias("b_id"), touches.alias("t")
+    ).select("a_id", "b_id", *[F.col("t")[i].alias(f"touch_{i}") for i in range(len(sizes))])
 
 
 def _home(df: DataFrame, cell: float) -> DataFrame:
@@ -265,8 +273,6 @@ def nearest_distance(shapes: DataFrame, start: float = 2.0, factor: float = 5.0)
     in; crowded places are settled while the reach is still short. A shape with
     copies is at distance 0. The last shape standing alone gets null.
     """
-    from gevel.session import materialize
-
     extent = shapes.agg(
         F.min("minx").alias("x0"),
         F.min("miny").alias("y0"),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gevel.functions import hull, labels, planar, scalars
 from gevel.operators import grid
 from gevel.operators.lookup import assign_from, drop_incomplete, flatten, one_per_key
+from gevel.session import materialize
 
 # Radii in metres, sentinel year, column lists.
 RADII = [25, 50, 75, 100]
@@ -94,57 +95,65 @@ def _per_shape(table: DataFrame, shapes: DataFrame, values: DataFrame) -> DataFr
     return table.join(keyed.drop("shape_id"), "rings", "left")
 
 
-def adjacency(table: DataFrame, sizes: list[float], names: list[str] | None = None) -> DataFrame:
+def adjacency(
+    table: DataFrame, sizes: list[float], names: list[str] | None = None, compat: bool = False
+) -> DataFrame:
     """Add first and second-order adjacency for one or more buffer sizes.
 
     For each size two columns: the number of adjacent buildings (both ends of a
     known function), and the highest such number among all adjacent buildings.
+    With ``compat`` the second-order values of all sizes use the counts of the
+    first size, and those of further sizes stay null without neighbours.
     """
     names = names or ["" if i == 0 else f"_{i}" for i in range(len(sizes))]
     eligible = labels.counts_for_adjacency(F.col("bag_function"))
     shapes = grid.distinct_shapes(table, eligible=eligible)
-    out = table
-    for size, name in zip(sizes, names):
-        pairs = grid.touching_shapes(shapes, size)
-        weight = shapes.select(F.col("shape_id").alias("b_id"), F.col("eligible").alias("b_eligible"))
-        seen = (
-            pairs.join(weight, "b_id")
-            .groupBy(F.col("a_id").alias("shape_id"))
-            .agg(F.sum("b_eligible").alias("others"))
-        )
-        # What an eligible building with this footprint counts: others, and its own copies.
-        first = (
-            shapes.select("shape_id", "copies", "eligible")
-            .join(seen, "shape_id", "left")
-            .select(
-                "shape_id",
-                "copies",
-                "eligible",
-                F.when(
-                    F.col("eligible") > 0, F.coalesce("others", F.lit(0)) + F.col("eligible") - 1
-                )
-                .otherwise(0)
-                .alias("degree"),
-            )
-        )
-        around = (
-            pairs.join(first.select(F.col("shape_id").alias("b_id"), F.col("degree").alias("d")), "b_id")
-            .groupBy(F.col("a_id").alias("shape_id"))
-            .agg(F.max("d").alias("around"))
+    # Used twice below; the outlines are the costly part, so measure them once.
+    pairs = materialize(grid.touching_shapes(shapes, sizes), "adjacent")
+    n = range(len(sizes))
+    weight = shapes.select(F.col("shape_id").alias("b_id"), F.col("eligible").alias("w"))
+    seen = (
+        pairs.join(weight, "b_id")
+        .groupBy(F.col("a_id").alias("shape_id"))
+        .agg(*[F.sum(F.when(F.col(f"touch_{i}"), F.col("w"))).alias(f"others_{i}") for i in n])
+    )
+    # What an eligible building with this footprint counts: others, and its own copies.
+    degree = [
+        F.when(F.col("eligible") > 0, F.coalesce(f"others_{i}", F.lit(0)) + F.col("eligible") - 1)
+        .otherwise(0)
+        .alias(f"degree_{i}")
+        for i in n
+    ]
+    first = (
+        shapes.select("shape_id", "eligible").join(seen, "shape_id", "left").select(
+            "shape_id", "eligible", *degree
         )
-        values = first.drop("copies").join(around, "shape_id", "left")
-        degree, second = f"no_adjacent_bldg{name}", f"no_adjacent_of_adja_bldg{name}"
-        rows = _per_shape(out, shapes.drop("eligible"), values)
-        is_eligible = labels.counts_for_adjacency(F.col("bag_function"))
-        twin_left = F.col("eligible") - is_eligible.cast("int") > 0
-        rows = rows.withColumn(degree, F.when(is_eligible, F.col("degree"))).withColumn(
-            second,
-            F.greatest("around", F.when(twin_left, F.col("degree"))),
+    )
+    ranked_by = [0 if compat else i for i in n]
+    far = first.select(F.col("shape_id").alias("b_id"), *[f"degree_{i}" for i in n])
+    around = (
+        pairs.join(far, "b_id")
+        .groupBy(F.col("a_id").alias("shape_id"))
+        .agg(
+            *[
+                F.max(F.when(F.col(f"touch_{i}"), F.col(f"degree_{ranked_by[i]}"))).alias(f"around_{i}")
+                for i in n
+            ]
         )
-        for c in (degree, second):
-            rows = rows.withColumn(c, scalars.zero_if_present(F.col(c), F.col("rings")))
-        out = rows.drop("copies", "eligible", "degree", "around")
-    return out
+    )
+    rows = _per_shape(table, shapes.drop("eligible"), first.join(around, "shape_id", "left"))
+    # Copies of the same footprint are adjacent too: a twin that counts, or one that does not.
+    twin_counts = F.col("eligible") - eligible.cast("int") > 0
+    has_twin = F.col("copies") > 1
+    added = []
+    for i, name in enumerate(names):
+        twin = F.when(has_twin, F.when(twin_counts, F.col(f"degree_{ranked_by[i]}")).otherwise(0))
+        one = scalars.zero_if_present(F.when(eligible, F.col(f"degree_{i}")), F.col("rings"))
+        two = F.greatest(F.col(f"around_{i}"), twin)
+        if not (compat and i > 0):
+            two = scalars.zero_if_present(two, F.col("rings"))
+        added += [one.alias(f"no_adjacent_bldg{name}"), two.alias(f"no_adjacent_of_adja_bldg{name}")]
+    return rows.select(*table.columns, *added)
 
 
 def neighbours(table: DataFrame, radii: list[int] = RADII) -> DataFrame:
