@@ -74,12 +74,13 @@ def box_pairs(
     build: DataFrame,
     reach: float,
     cell: float | None = None,
-    per_cell: int = CROWDED,
+    per_cell: int | None = CROWDED,
 ) -> DataFrame:
     """Pairs whose boxes, the probe's grown by ``reach``, overlap or touch.
 
     Both sides carry ``minx, miny, maxx, maxy``; columns come back prefixed
     ``a_`` (probe) and ``b_`` (build). Every pair appears exactly once.
+    ``per_cell=None`` skips the look for crowded cells.
     """
     cell = float(cell or max(reach, 25.0))
     a = probe.select(*[F.col(c).alias(f"a_{c}") for c in probe.columns])
@@ -96,8 +97,8 @@ def box_pairs(
             for axis in "xy"
         ],
     )
-    splits = crowded_cells(b.select("cx", "cy"), per_cell)
-    if splits.isEmpty():
+    splits = None if per_cell is None else crowded_cells(b.select("cx", "cy"), per_cell)
+    if splits is None or splits.isEmpty():
         keys = ["cx", "cy"]
         first = (_index(corner["x"], cell) == F.col("cx")) & (
             _index(corner["y"], cell) == F.col("cy")
@@ -203,7 +204,7 @@ def shapes_within(shapes: DataFrame, radii: list[float], per_cell: int = CROWDED
     homes = _home(shapes.select(*BOX), reach)
     splits = crowded_cells(homes, per_cell)
     if splits.isEmpty():
-        return _pair_counts(box_pairs(probe, build, reach, reach, per_cell), radii)
+        return _pair_counts(box_pairs(probe, build, reach, reach, None), radii)
 
     splits = bounded(splits)
     build = _home(build, reach)
@@ -255,7 +256,7 @@ def shapes_within(shapes: DataFrame, radii: list[float], per_cell: int = CROWDED
         )
     )
     parts = [
-        _pair_counts(box_pairs(probe, sparse, reach, reach, per_cell), radii),
+        _pair_counts(box_pairs(probe, sparse, reach, reach, None), radii),
         whole,
         _pair_counts(opened, radii, [F.col(f"cut_{i}") for i in range(len(radii))]),
     ]

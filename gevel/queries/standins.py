@@ -309,6 +309,7 @@ TABLES: dict[str, str] = {
                z * (p_size % 5) as shared_walls_area, (p_size % 11) / 4.0 as closest_distance
         from (select *, maxx - minx as w, maxy - miny as d, height as z,
                      cast((p_size % 3) / 2.0 as double) as g from boxes)""",
+    "solid": "select *, (p_size % 3) / 2.0 as z0 from boxes",
     # Derived tables shared by several twins.
     "unit_uses": """
         select pandid, list_sort(list_distinct(list(use))) as uses
@@ -359,6 +360,45 @@ TABLES: dict[str, str] = {
                    + pow(greatest(b.miny - (a.miny + a.maxy) / 2, 0, (a.miny + a.maxy) / 2 - b.maxy), 2) as hypot2
             from boxes a join boxes b on a.bag_id <> b.bag_id) b on b.a_id = a.bag_id
         group by a.bag_id""",
+    "area_adjacency": """
+        select s.bag_id, count(b_id) as n from functions s join cityobject o on o.gmlid = s.bag_id
+        left join (
+            select a_id, b_id from near join functions fa on fa.bag_id = a_id join functions fb on fb.bag_id = b_id
+            join cityobject ob on ob.gmlid = b_id
+            where dx <= 0.1 and dy <= 0.1 and ob.objectclass_id = 26
+              and fa.bag_function not in ('Others', 'Unknown')
+              and fb.bag_function not in ('Others', 'Unknown')) on a_id = s.bag_id
+        where o.objectclass_id = 26 group by 1""",
+    "area_adjacency2": """
+        select a.bag_id, a.n, coalesce(max(b.n), 0) as nn from area_adjacency a
+        left join near on a_id = a.bag_id and dx <= 0.1 and dy <= 0.1
+        left join area_adjacency b on b.bag_id = b_id group by a.bag_id, a.n""",
+    "study_fp": """
+        select c.*, o.gmlid as bag_id from current_fp c join cityobject o on o.gmlid = c.identificatie
+        where objectclass_id = 26 and name is not null""",
+    "study_near": """
+        select a.bag_id as a_id, b.bag_id as b_id
+        from study_fp a join study_fp b on a.bag_id <> b.bag_id
+         and a.minx - 0.1 <= b.maxx and b.minx <= a.maxx + 0.1
+         and a.miny - 0.1 <= b.maxy and b.miny <= a.maxy + 0.1""",
+    "study_adjacency": """
+        select s.bag_id, count(b_id) as n from study_fp s left join (
+            select a_id, b_id from study_near join functions fa on fa.bag_id = a_id
+            join functions fb on fb.bag_id = b_id
+            where fa.bag_function not in ('Others', 'Unknown') and fb.bag_function not in ('Others', 'Unknown'))
+        on a_id = s.bag_id group by 1""",
+    "study_adjacency2": """
+        select a.bag_id, a.n, coalesce(max(b.n), 0) as nn from study_adjacency a
+        left join study_near on a_id = a.bag_id left join study_adjacency b on b.bag_id = b_id
+        group by a.bag_id, a.n""",
+    "study_neighbours": """
+        select a.bag_id, count(b_id) filter (where d2 <= 625) as n25, count(b_id) as n100
+        from study_fp a left join (
+            select a.bag_id as a_id, b.bag_id as b_id,
+                   pow(greatest(b.minx - (a.minx + a.maxx) / 2, 0, (a.minx + a.maxx) / 2 - b.maxx), 2)
+                   + pow(greatest(b.miny - (a.miny + a.maxy) / 2, 0, (a.miny + a.maxy) / 2 - b.maxy), 2) as d2
+            from study_fp a join study_fp b on a.bag_id <> b.bag_id) on a_id = a.bag_id and d2 <= 10000
+        group by 1""",
     "dwellings": """
         select pandid, count(distinct identificatie) as bag_no_dwellings
         from (select unnest(pandref) as pandid, identificatie from units
