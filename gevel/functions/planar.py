@@ -1,59 +1,49 @@
-"""Planar polygon measures as column expressions.
+"""Planar polygon measures as SQL expressions over nested arrays.
 
 A polygon is ``rings: array<array<struct<x,y>>>``: the shell first, then the
-holes, every ring closed. Pair tests take the flat edge list of
-:func:`edges`, best computed once, ahead of a join. Lambdas evaluate what they
-capture anew for every element, hence :func:`let`.
+holes, every ring closed. Pair tests take the flat segment list of
+:func:`edges`, best computed once, ahead of a join.
+
+The functions take SQL text (a column name or an expression) and return a
+column; those ending in ``_sql`` return text to build on. Text is parsed in one
+go, where thousands of nested column calls would each cross into the JVM.
+Lambdas evaluate what they capture anew for every element, hence :func:`let`.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from itertools import count
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_names = count()
 
-def _segments(ring: Column) -> Column:
-    count = F.greatest(F.size(ring) - 1, F.lit(0))
-    return F.zip_with(
-        F.slice(ring, F.lit(1), count),
-        F.slice(ring, F.lit(2), count),
-        lambda p, q: F.struct(
-            p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2")
-        ),
-    )
 
+def _var() -> str:
+    return f"v{next(_names)}"
 
-def let(value: Column, fn) -> Column:
-    """``fn(value)`` with ``value`` evaluated once, however often ``fn`` uses it."""
-    return F.transform(F.array(value), fn)[0]
 
+def let(value: str, body: Callable[[str], str]) -> str:
+    """``body(value)`` with ``value`` evaluated once, however often ``body`` uses it."""
+    v = _var()
+    return f"transform(array({value}), {v} -> {body(v)})[0]"
 
-def _segment(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-    """A segment with its unit direction and length; one without length gets zeros."""
-    return let(
-        F.hypot(x2 - x1, y2 - y1),
-        lambda n: F.struct(
-            x1.alias("x1"),
-            y1.alias("y1"),
-            x2.alias("x2"),
-            y2.alias("y2"),
-            F.when(n > 0, (x2 - x1) / n).otherwise(0.0).alias("ux"),
-            F.when(n > 0, (y2 - y1) / n).otherwise(0.0).alias("uy"),
-            n.alias("n"),
-        ),
-    )
 
+def each(array: str, body: Callable[[str], str]) -> str:
+    v = _var()
+    return f"transform({array}, {v} -> {body(v)})"
 
-def edges(rings: Column) -> Column:
-    """All segments of all rings: ``array<struct<x1,y1,x2,y2,ux,uy,n>>``."""
-    return F.flatten(
-        F.transform(
-            rings,
-            lambda ring: F.transform(
-                _segments(ring), lambda s: _segment(s["x1"], s["y1"], s["x2"], s["y2"])
-            ),
-        )
-    )
+
+def fold(array: str, start: str, step: Callable[[str, str], str], finish=None) -> str:
+    acc, v = _var(), _var()
+    end = "" if finish is None else f", {acc} -> {finish(acc)}"
+    return f"aggregate({array}, {start}, ({acc}, {v}) -> {step(acc, v)}{end})"
+
+
+def _sum(array: str) -> str:
+    return fold(array, "0D", lambda acc, v: f"{acc} + {v}")
 
 
 def rectangle(minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
@@ -67,184 +57,200 @@ def rectangle(minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
     )
 
 
-def box_of(rings: Column) -> list[Column]:
+def box_of(rings: str) -> list[Column]:
     """``minx, miny, maxx, maxy`` of the shell."""
-    xs = F.transform(rings[0], lambda p: p["x"])
-    ys = F.transform(rings[0], lambda p: p["y"])
     return [
-        F.array_min(xs).alias("minx"),
-        F.array_min(ys).alias("miny"),
-        F.array_max(xs).alias("maxx"),
-        F.array_max(ys).alias("maxy"),
+        F.expr(f"array_{end}({each(f'{rings}[0]', lambda p: f'{p}.{axis}')})").alias(f"{end}{axis}")
+        for end, axis in (("min", "x"), ("min", "y"), ("max", "x"), ("max", "y"))
     ]
 
 
 def with_box(df, rings: str = "rings"):
-    return df.select("*", *box_of(F.col(rings)))
+    return df.select("*", *box_of(rings))
 
 
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
+def _segments(ring: str) -> str:
+    """Consecutive points as ``struct<x1,y1,x2,y2>``."""
+    n = f"greatest(size({ring}) - 1, 0)"
+    p, q = _var(), _var()
+    pair = f"named_struct('x1', {p}.x, 'y1', {p}.y, 'x2', {q}.x, 'y2', {q}.y)"
+    return f"zip_with(slice({ring}, 1, {n}), slice({ring}, 2, {n}), ({p}, {q}) -> {pair})"
 
 
-def _doubled_signed_area(ring: Column, origin: Column) -> Column:
-    return _sum(
-        F.transform(
-            _segments(ring),
-            lambda s: (s["x1"] - origin["x"]) * (s["y2"] - origin["y"])
-            - (s["x2"] - origin["x"]) * (s["y1"] - origin["y"]),
-        )
+def _segment(x1: str, y1: str, x2: str, y2: str) -> str:
+    """A segment with its unit direction and length; one without length gets zeros."""
+    return let(
+        f"hypot({x2} - {x1}, {y2} - {y1})",
+        lambda n: f"""named_struct('x1', {x1}, 'y1', {y1}, 'x2', {x2}, 'y2', {y2},
+            'ux', if({n} > 0, ({x2} - {x1}) / {n}, 0D), 'uy', if({n} > 0, ({y2} - {y1}) / {n}, 0D),
+            'n', {n})""",
     )
 
 
-def area(rings: Column) -> Column:
+def edges_sql(rings: str) -> str:
+    def of_ring(ring: str) -> str:
+        return each(_segments(ring), lambda s: _segment(f"{s}.x1", f"{s}.y1", f"{s}.x2", f"{s}.y2"))
+
+    return f"flatten({each(rings, of_ring)})"
+
+
+def edges(rings: str) -> Column:
+    """All segments of all rings: ``array<struct<x1,y1,x2,y2,ux,uy,n>>``."""
+    return F.expr(edges_sql(rings))
+
+
+def _cross(s: str, o: str) -> str:
+    """Twice the signed area of the triangle of a segment and a point."""
+    return f"(({s}.x1 - {o}.x) * ({s}.y2 - {o}.y) - ({s}.x2 - {o}.x) * ({s}.y1 - {o}.y))"
+
+
+def _doubled_area(ring: str) -> str:
+    return _sum(each(_segments(ring), lambda s: _cross(s, f"{ring}[0]")))
+
+
+def area_sql(rings: str) -> str:
+    ring, i = _var(), _var()
+    signed = f"if({i} = 0, 0.5D, -0.5D) * abs({_doubled_area(ring)})"
+    return _sum(f"transform({rings}, ({ring}, {i}) -> {signed})")
+
+
+def area(rings: str) -> Column:
     """Shell minus holes, whatever way the rings turn."""
-    return _sum(
-        F.transform(
-            rings,
-            lambda ring, i: F.when(i == 0, 0.5).otherwise(-0.5)
-            * F.abs(_doubled_signed_area(ring, ring[0])),
-        )
-    )
+    return F.expr(area_sql(rings))
 
 
-def perimeter(rings: Column) -> Column:
-    return _sum(F.transform(edges(rings), lambda s: s["n"]))
+def perimeter(rings: str) -> Column:
+    length = each(
+        rings, lambda r: _sum(each(_segments(r), lambda s: f"hypot({s}.x2 - {s}.x1, {s}.y2 - {s}.y1)"))
+    )
+    return F.expr(_sum(length))
 
 
-def point_count(rings: Column) -> Column:
+def point_count(rings: str) -> Column:
     """Number of stored points; the closing point of each ring counts."""
-    return F.aggregate(rings, F.lit(0), lambda acc, ring: acc + F.size(ring))
+    return F.expr(fold(rings, "0", lambda acc, ring: f"{acc} + size({ring})"))
 
 
-def centroid(rings: Column) -> Column:
-    """``struct<x,y>``; a polygon without area falls back to its outline."""
-    origin = rings[0][0]
-
-    def moments(ring: Column, i: Column) -> Column:
-        doubled = _doubled_signed_area(ring, origin)
-        sign = F.when((doubled < 0) == (i == 0), -1.0).otherwise(1.0)
-
-        def moment(axis1: str, axis2: str, o: Column) -> Column:
-            return _sum(
-                F.transform(
-                    _segments(ring),
-                    lambda s: (s[axis1] + s[axis2] - 2.0 * o)
-                    * (
-                        (s["x1"] - origin["x"]) * (s["y2"] - origin["y"])
-                        - (s["x2"] - origin["x"]) * (s["y1"] - origin["y"])
-                    ),
-                )
+def centroid_sql(rings: str) -> str:
+    def add(acc: str, m: str) -> str:
+        return (
+            f"named_struct('w', {acc}.w + {m}.w, 'mx', {acc}.mx + {m}.mx, 'my', {acc}.my + {m}.my)"
+        )
+
+    zero = "named_struct('w', 0D, 'mx', 0D, 'my', 0D)"
+
+    def body(g: str) -> str:
+        origin = f"{g}[0][0]"
+
+        def by_triangle(s: str) -> str:
+            return let(
+                _cross(s, origin),
+                lambda c: f"""named_struct('w', {c}, 'mx', ({s}.x1 + {s}.x2 - 2 * {origin}.x) * {c},
+                              'my', ({s}.y1 + {s}.y2 - 2 * {origin}.y) * {c})""",
             )
 
-        return F.struct(
-            (sign * doubled).alias("a"),
-            (sign * moment("x1", "x2", origin["x"])).alias("mx"),
-            (sign * moment("y1", "y2", origin["y"])).alias("my"),
+        def by_length(s: str) -> str:
+            return f"""named_struct('w', {s}.n, 'mx', {s}.n * ({s}.x1 + {s}.x2) / 2,
+                                    'my', {s}.n * ({s}.y1 + {s}.y2) / 2)"""
+
+        # The shell counts as positive and holes as negative, whichever way they turn.
+        ring, i = _var(), _var()
+        signed = let(
+            fold(each(_segments(ring), by_triangle), zero, add),
+            lambda m: let(
+                f"if(({m}.w < 0) = ({i} = 0), -1D, 1D)",
+                lambda k: f"named_struct('w', {k} * {m}.w, 'mx', {k} * {m}.mx, 'my', {k} * {m}.my)",
+            ),
+        )
+        total = fold(f"transform({g}, ({ring}, {i}) -> {signed})", zero, add)
+        outline = let(
+            fold(each(edges_sql(g), by_length), zero, add),
+            lambda t: f"""if({t}.w > 0, named_struct('x', {t}.mx / {t}.w, 'y', {t}.my / {t}.w),
+                             named_struct('x', {origin}.x, 'y', {origin}.y))""",
+        )
+        return let(
+            total,
+            lambda t: f"""if({t}.w <> 0, named_struct('x', {origin}.x + {t}.mx / (3 * {t}.w),
+                                                      'y', {origin}.y + {t}.my / (3 * {t}.w)), {outline})""",
         )
 
-    per_ring = F.transform(rings, moments)
-    total = F.aggregate(
-        per_ring,
-        F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("mx"), F.lit(0.0).alias("my")),
-        lambda acc, m: F.struct(
-            (acc["a"] + m["a"]).alias("a"),
-            (acc["mx"] + m["mx"]).alias("mx"),
-            (acc["my"] + m["my"]).alias("my"),
-        ),
-    )
-    outline = F.aggregate(
-        edges(rings),
-        F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("mx"), F.lit(0.0).alias("my")),
-        lambda acc, s: F.struct(
-            (acc["w"] + s["n"]).alias("w"),
-            (acc["mx"] + s["n"] * (s["x1"] + s["x2"]) / 2.0).alias("mx"),
-            (acc["my"] + s["n"] * (s["y1"] + s["y2"]) / 2.0).alias("my"),
-        ),
-        lambda acc: F.when(
-            acc["w"] > 0,
-            F.struct((acc["mx"] / acc["w"]).alias("x"), (acc["my"] / acc["w"]).alias("y")),
-        ).otherwise(F.struct(origin["x"].alias("x"), origin["y"].alias("y"))),
-    )
-    by_area = let(
-        total,
-        lambda t: F.when(
-            t["a"] != 0,
-            F.struct(
-                (origin["x"] + t["mx"] / (3.0 * t["a"])).alias("x"),
-                (origin["y"] + t["my"] / (3.0 * t["a"])).alias("y"),
-            ),
-        ),
-    )
-    return F.coalesce(by_area, outline)
+    return let(rings, body)
 
 
-def point_segment(px: Column, py: Column, s: Column) -> Column:
-    """Distance from a point to a segment."""
-    wx, wy = px - s["x1"], py - s["y1"]
-    along = F.least(F.greatest(wx * s["ux"] + wy * s["uy"], F.lit(0.0)), s["n"])
-    return F.hypot(wx - along * s["ux"], wy - along * s["uy"])
+def centroid(rings: str) -> Column:
+    """``struct<x,y>``; a polygon without area falls back to its outline."""
+    return F.expr(f"if({rings} is null, null, {centroid_sql(rings)})")
 
 
-_FAR = float("inf")
+FAR = "double('infinity')"
+
+
+def point_segment_sql(px: str, py: str, s: str) -> str:
+    """Distance from a point to a segment."""
+    along = (
+        f"least(greatest(({px} - {s}.x1) * {s}.ux + ({py} - {s}.y1) * {s}.uy, 0D), {s}.n)"
+    )
+    return let(
+        along,
+        lambda t: f"hypot({px} - {s}.x1 - {t} * {s}.ux, {py} - {s}.y1 - {t} * {s}.uy)",
+    )
 
 
-def inside(px: Column, py: Column, outline: Column) -> Column:
+def inside_sql(px: str, py: str, outline: str) -> str:
     """Even-odd test against an edge list; points on an edge may go either way."""
-    crossings = F.filter(
-        outline,
-        lambda s: ((s["y1"] > py) != (s["y2"] > py))
-        & (px < (s["x2"] - s["x1"]) * (py - s["y1"]) / (s["y2"] - s["y1"]) + s["x1"]),
+    s = _var()
+    crosses = f"""(({s}.y1 > {py}) <> ({s}.y2 > {py}))
+        and {px} < ({s}.x2 - {s}.x1) * ({py} - {s}.y1) / ({s}.y2 - {s}.y1) + {s}.x1"""
+    return f"(size(filter({outline}, {s} -> {crosses})) % 2 = 1)"
+
+
+def point_distance_sql(px: str, py: str, outline: str) -> str:
+    nearest = fold(
+        outline, FAR, lambda acc, s: f"least({acc}, {point_segment_sql(px, py, s)})"
     )
-    return F.size(crossings) % 2 == 1
+    return f"if({inside_sql(px, py, outline)}, 0D, {nearest})"
 
 
-def point_distance(px: Column, py: Column, outline: Column) -> Column:
+def point_distance(px: str, py: str, outline: str) -> Column:
     """Distance from a point to a polygon given by its edges; 0 inside."""
-    nearest = F.aggregate(
-        outline, F.lit(_FAR), lambda acc, s: F.least(acc, point_segment(px, py, s))
-    )
-    return F.when(inside(px, py, outline), 0.0).otherwise(nearest)
+    return F.expr(point_distance_sql(px, py, outline))
 
 
-def _properly_cross(s: Column, t: Column) -> Column:
-    def side(ax: Column, ay: Column, u: Column) -> Column:
-        return (u["x2"] - u["x1"]) * (ay - u["y1"]) - (u["y2"] - u["y1"]) * (ax - u["x1"])
+def _properly_cross(s: str, t: str) -> str:
+    def side(i: int, u: str, v: str) -> str:
+        return f"(({v}.x2 - {v}.x1) * ({u}.y{i} - {v}.y1) - ({v}.y2 - {v}.y1) * ({u}.x{i} - {v}.x1))"
 
-    return (side(s["x1"], s["y1"], t) * side(s["x2"], s["y2"], t) < 0) & (
-        side(t["x1"], t["y1"], s) * side(t["x2"], t["y2"], s) < 0
-    )
+    return f"({side(1, s, t)} * {side(2, s, t)} < 0 and {side(1, t, s)} * {side(2, t, s)} < 0)"
 
 
-def polygon_distance(a: Column, b: Column) -> Column:
-    """Distance between two polygons given by edge lists; 0 when they meet."""
+def polygon_distance_sql(a: str, b: str) -> str:
+    def gap(e: str) -> str:
+        one, two = f"{e}.a", f"{e}.b"
 
-    def gap(e: Column) -> Column:
-        first, second = e["a"], e["b"]
-        nearest = F.aggregate(
-            first,
-            F.lit(_FAR),
-            lambda acc, s: F.aggregate(
-                second,
+        def closer(acc: str, s: str) -> str:
+            return fold(
+                two,
                 acc,
-                lambda inner, t: F.when(_properly_cross(s, t), 0.0).otherwise(
-                    F.least(
-                        inner,
-                        point_segment(s["x1"], s["y1"], t),
-                        point_segment(t["x1"], t["y1"], s),
-                    )
-                ),
-            ),
-        )
-        nested = inside(first[0]["x1"], first[0]["y1"], second) | inside(
-            second[0]["x1"], second[0]["y1"], first
+                lambda inner, t: f"""if({_properly_cross(s, t)}, 0D, least({inner},
+                    {point_segment_sql(f'{s}.x1', f'{s}.y1', t)},
+                    {point_segment_sql(f'{t}.x1', f'{t}.y1', s)}))""",
+            )
+
+        nested = (
+            f"{inside_sql(f'{one}[0].x1', f'{one}[0].y1', two)} or "
+            f"{inside_sql(f'{two}[0].x1', f'{two}[0].y1', one)}"
         )
-        return F.when(nested, 0.0).otherwise(nearest)
+        return f"if({nested}, 0D, {fold(one, FAR, closer)})"
 
-    return let(F.struct(a.alias("a"), b.alias("b")), gap)
+    return let(f"named_struct('a', {a}, 'b', {b})", gap)
 
 
-def mitre_corners(rings: Column, size: float, other: Column, limit: float = 5.0) -> Column:
+def polygon_distance(a: str, b: str) -> Column:
+    """Distance between two polygons given by edge lists; 0 when they meet."""
+    return F.expr(polygon_distance_sql(a, b))
+
+
+def mitre_corners_sql(rings: str, size: float, other: str, limit: float) -> str:
     """What a mitre buffer adds beyond a round one: one kite per convex corner.
 
     Each kite is an edge list (corner, offset, tip, tip, offset). A tip farther
@@ -252,105 +258,104 @@ def mitre_corners(rings: Column, size: float, other: Column, limit: float = 5.0)
     reach of ``other`` (edges) are left out.
     """
 
-    def of_ring(ring: Column, i: Column) -> Column:
-        segs = F.filter(edges(F.array(ring)), lambda s: s["n"] > 0)
-        turned = (_doubled_signed_area(ring, ring[0]) > 0) == (i == 0)
-        ordered = F.when(turned, segs).otherwise(
-            F.transform(F.reverse(segs), lambda s: _segment(s["x2"], s["y2"], s["x1"], s["y1"]))
+    def of_ring(ring: str, i: str) -> str:
+        s = _var()
+        kept = f"filter({edges_sql(f'array({ring})')}, {s} -> {s}.n > 0)"
+        turned = f"(({_doubled_area(ring)}) > 0) = ({i} = 0)"
+        back = each(
+            f"reverse({kept})", lambda t: _segment(f"{t}.x2", f"{t}.y2", f"{t}.x1", f"{t}.y1")
         )
         # Each segment next to the one that ends where it starts; outside is on the right.
+        p, q = _var(), _var()
+        corner = f"""named_struct('x', {q}.x1, 'y', {q}.y1, 'ax', {p}.uy, 'ay', -{p}.ux,
+                                  'bx', {q}.uy, 'by', -{q}.ux)"""
         return let(
-            ordered,
-            lambda o: F.zip_with(
-                F.slice(F.concat(F.slice(o, -1, 1), o), F.lit(1), F.size(o)),
-                o,
-                lambda s, t: F.struct(
-                    t["x1"].alias("x"),
-                    t["y1"].alias("y"),
-                    s["uy"].alias("ax"),
-                    (-s["ux"]).alias("ay"),
-                    t["uy"].alias("bx"),
-                    (-t["ux"]).alias("by"),
-                ),
-            ),
+            f"if({turned}, {kept}, {back})",
+            lambda o: f"""zip_with(slice(concat(slice({o}, -1, 1), {o}), 1, size({o})), {o},
+                                   ({p}, {q}) -> {corner})""",
         )
 
-    corners = F.filter(
-        F.flatten(F.transform(rings, of_ring)),
-        lambda c: (c["ax"] * c["by"] - c["ay"] * c["bx"] > 1e-12)
-        & (point_distance(c["x"], c["y"], other) <= 1.001 * limit * size),
-    )
+    ring, i, c = _var(), _var(), _var()
+    near = f"""{c}.ax * {c}.by - {c}.ay * {c}.bx > 1e-12D
+        and {point_distance_sql(f'{c}.x', f'{c}.y', other)} <= {1.001 * limit * size}D"""
+    corners = f"filter(flatten(transform({rings}, ({ring}, {i}) -> {of_ring(ring, i)})), {c} -> {near})"
 
-    def kite(c: Column) -> Column:
-        cos = c["ax"] * c["bx"] + c["ay"] * c["by"]
-        fold = F.greatest(1.0 + cos, F.lit(1e-12))
-        ratio = F.sqrt(2.0 / fold)
-        tipx, tipy = c["x"] + size * (c["ax"] + c["bx"]) / fold, c["y"] + size * (c["ay"] + c["by"]) / fold
-        keep = F.when(ratio > limit, (limit - 1.0 / ratio) / (ratio - 1.0 / ratio)).otherwise(1.0)
-        fx, fy = c["x"] + size * c["ax"], c["y"] + size * c["ay"]
-        gx, gy = c["x"] + size * c["bx"], c["y"] + size * c["by"]
-        return F.array(
-            *[
-                F.struct(x.alias("x"), y.alias("y"))
-                for x, y in [
-                    (c["x"], c["y"]),
-                    (fx, fy),
-                    (fx + keep * (tipx - fx), fy + keep * (tipy - fy)),
-                    (gx + keep * (tipx - gx), gy + keep * (tipy - gy)),
-                    (gx, gy),
-                    (c["x"], c["y"]),
-                ]
-            ]
-        )
+    def kite(c: str) -> str:
+        # How sharp the corner is, and how much of the tip the limit leaves.
+        sharp = f"greatest(1 + {c}.ax * {c}.bx + {c}.ay * {c}.by, 1e-12D)"
+
+        def points(k: str) -> str:
+            ratio = f"sqrt(2 / {k})"
+            keep = f"if({ratio} > {limit}D, ({limit}D - 1 / {ratio}) / ({ratio} - 1 / {ratio}), 1D)"
+            tip = {a: f"({c}.a{a} + {c}.b{a}) / {k}" for a in "xy"}
+
+            def pt(by: dict[str, str]) -> str:
+                return f"named_struct('x', {c}.x + {size}D * ({by['x']}), 'y', {c}.y + {size}D * ({by['y']}))"
+
+            def toward_tip(n: str, m: str) -> dict[str, str]:
+                return {a: f"{c}.{n}{a} + {m} * ({tip[a]} - {c}.{n}{a})" for a in "xy"}
+
+            corner = f"named_struct('x', {c}.x, 'y', {c}.y)"
+            return let(
+                keep,
+                lambda m: f"""array({corner}, {pt({a: f'{c}.a{a}' for a in 'xy'})},
+                    {pt(toward_tip('a', m))}, {pt(toward_tip('b', m))},
+                    {pt({a: f'{c}.b{a}' for a in 'xy'})}, {corner})""",
+            )
+
+        return edges_sql(f"array({let(sharp, points)})")
 
-    return F.transform(corners, lambda c: edges(F.array(kite(c))))
+    return each(corners, kite)
 
 
-def touches_mitre_buffers(
-    rings: Column, sizes: list[float], other: Column, limit: float = 5.0
-) -> Column:
+def touches_mitre_buffers(rings: str, sizes: list[float], other: str, limit: float = 5.0) -> Column:
     """For each buffer size, whether ``other`` (edges) meets the mitre buffer of ``rings``."""
 
-    def of_size(gap: Column, size: float) -> Column:
+    def of_size(gap: str, size: float) -> str:
         # The corners matter only in the belt that a round buffer misses.
-        by_corner = F.exists(
-            mitre_corners(rings, size, other, limit),
-            lambda kite: polygon_distance(kite, other) <= 1e-9,
+        kite = _var()
+        by_corner = f"""exists({mitre_corners_sql(rings, size, other, limit)},
+                               {kite} -> {polygon_distance_sql(kite, other)} <= 1e-9D)"""
+        return f"case when {gap} <= {size}D then true when {gap} > {limit * size}D then false else {by_corner} end"
+
+    return F.expr(
+        let(
+            polygon_distance_sql(edges_sql(rings), other),
+            lambda gap: f"array({', '.join(of_size(gap, s) for s in sizes)})",
         )
-        return F.when(gap <= size, True).when(gap > limit * size, False).otherwise(by_corner)
-
-    return let(
-        polygon_distance(edges(rings), other), lambda gap: F.array(*[of_size(gap, s) for s in sizes])
     )
 
 
-def touches_mitre_buffer(rings: Column, size: float, other: Column, limit: float = 5.0) -> Column:
+def touches_mitre_buffer(rings: str, size: float, other: str, limit: float = 5.0) -> Column:
     return touches_mitre_buffers(rings, [size], other, limit)[0]
 
 
-def box_gap(px: Column, py: Column, minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
-    """Distance from a point to a box: no point of the polygon inside it is nearer."""
-    dx = F.greatest(minx - px, F.lit(0.0), px - maxx)
-    dy = F.greatest(miny - py, F.lit(0.0), py - maxy)
-    return F.hypot(dx, dy)
+def box_gap(px: str, py: str, box: str) -> Column:
+    """Distance from a point to a box (``box`` prefixes its columns); the polygon is no nearer."""
+    dx, dy = (
+        f"greatest({box}min{a} - {p}, 0D, {p} - {box}max{a})" for a, p in (("x", px), ("y", py))
+    )
+    return F.expr(f"hypot({dx}, {dy})")
+
+
+def _far(p: str, box: str, a: str) -> str:
+    return f"greatest(abs({p} - {box}min{a}), abs({p} - {box}max{a}))"
 
 
-def box_far(px: Column, py: Column, minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
+def box_far(px: str, py: str, box: str) -> Column:
     """Distance from a point to the farthest corner of a box."""
-    return F.hypot(
-        F.greatest(F.abs(px - minx), F.abs(px - maxx)), F.greatest(F.abs(py - miny), F.abs(py - maxy))
-    )
+    return F.expr(f"hypot({_far(px, box, 'x')}, {_far(py, box, 'y')})")
 
 
-def box_certain(
-    px: Column, py: Column, minx: Column, miny: Column, maxx: Column, maxy: Column
-) -> Column:
+def box_certain(px: str, py: str, box: str) -> Column:
     """Distance within which the polygon of a tight box surely has a point.
 
     The polygon touches all four sides of its box (Roussopoulos et al. 1995).
     """
-    near_x = F.when(px <= (minx + maxx) / 2, minx).otherwise(maxx)
-    near_y = F.when(py <= (miny + maxy) / 2, miny).otherwise(maxy)
-    far_x = F.greatest(F.abs(px - minx), F.abs(px - maxx))
-    far_y = F.greatest(F.abs(py - miny), F.abs(py - maxy))
-    return F.least(F.hypot(px - near_x, far_y), F.hypot(far_x, py - near_y))
+    near_x, near_y = (
+        f"({p} - if({p} <= ({box}min{a} + {box}max{a}) / 2, {box}min{a}, {box}max{a}))"
+        for a, p in (("x", px), ("y", py))
+    )
+    return F.expr(
+        f"least(hypot({near_x}, {_far(py, box, 'y')}), hypot({_far(px, box, 'x')}, {near_y}))"
+    )

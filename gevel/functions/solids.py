@@ -12,8 +12,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gevel.functions.planar import let
-
 # Surface kinds of a building.
 GROUND = "GroundSurface"
 WALL = "WallSurface"
@@ -59,14 +57,15 @@ def ring_vector(ring: Column) -> Column:
 
 def _face_vector(rings: Column) -> Column:
     """Outline normal less the holes, whichever way those turn."""
-    return let(
-        F.transform(rings, ring_vector),
+    # The one-element transform evaluates the vectors once.
+    return F.transform(
+        F.array(F.transform(rings, ring_vector)),
         lambda v: F.aggregate(
             F.slice(v, F.lit(2), F.greatest(F.size(v) - 1, F.lit(0))),
             v[0],
             lambda acc, hole: _plus(acc, hole, F.when(_dot(v[0], hole) > 0, -1.0).otherwise(1.0)),
         ),
-    )
+    )[0]
 
 
 def surface_area(rings: Column) -> Column:

@@ -111,7 +111,10 @@ def box_pairs(
         first = (_index(corner["x"], cell, F.col("split")) == F.col("fx")) & (
             _index(corner["y"], cell, F.col("split")) == F.col("fy")
         )
-    return a.join(b, keys).filter(overlap & first).drop(*keys, "split")
+    # The work is in the pairs, not in the bytes: keep adaptive execution from
+    # merging small partitions. The join below needs this very partitioning.
+    parts = int(probe.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return a.repartition(parts, *keys).join(b, keys).filter(overlap & first).drop(*keys, "split")
 
 
 def distinct_shapes(rows: DataFrame, **flags: Column) -> DataFrame:
@@ -124,7 +127,7 @@ def distinct_shapes(rows: DataFrame, **flags: Column) -> DataFrame:
             F.count(F.lit(1)).alias("copies"),
             *[F.count_if(cond).alias(name) for name, cond in flags.items()],
         )
-        .select("*", *planar.box_of(F.col("rings")))
+        .select("*", *planar.box_of("rings"))
     )
 
 
@@ -137,9 +140,9 @@ def touching_shapes(
     buffer of ``a`` of each size.
     """
     probe = shapes.select("shape_id", "rings", *BOX)
-    build = shapes.select("shape_id", planar.edges(F.col("rings")).alias("edges"), *BOX)
+    build = shapes.select("shape_id", planar.edges("rings").alias("edges"), *BOX)
     pairs = box_pairs(probe, build, limit * max(sizes), cell).filter("a_shape_id != b_shape_id")
-    touches = planar.touches_mitre_buffers(F.col("a_rings"), sizes, F.col("b_edges"), limit)
+    touches = planar.touches_mitre_buffers("a_rings", sizes, "b_edges", limit)
     return pairs.select(
         F.col("a_shape_id").alias("a_id"), F.col("b_shape_id").alias("b_id"), touches.alias("t")
     ).select("a_id", "b_id", *[F.col("t")[i].alias(f"touch_{i}") for i in range(len(sizes))])
@@ -156,15 +159,13 @@ def _pair_counts(pairs: DataFrame, radii: list[float], only: list[Column] | None
 
     The box bounds settle most pairs; the outline is measured for the rest.
     """
-    place = [F.col(f"a_{c}") for c in ("px", "py")]
-    box = [F.col(f"b_{c}") for c in BOX]
-    pairs = pairs.withColumn("gap", planar.box_gap(*place, *box)).withColumn(
-        "certain", planar.box_certain(*place, *box)
+    pairs = pairs.withColumn("gap", planar.box_gap("a_px", "a_py", "b_")).withColumn(
+        "certain", planar.box_certain("a_px", "a_py", "b_")
     )
     unsettled = reduce(
         lambda x, y: x | y, [(F.col("gap") <= r) & (F.col("certain") > r) for r in radii]
     )
-    exact = F.when(unsettled, planar.point_distance(*place, F.col("b_edges")))
+    exact = F.when(unsettled, planar.point_distance("a_px", "a_py", "b_edges"))
     pairs = pairs.withColumn("exact", exact)
     hits = []
     for i, r in enumerate(radii):
@@ -188,8 +189,8 @@ def shapes_within(shapes: DataFrame, radii: list[float], per_cell: int = CROWDED
         "shape_id",
         "copies",
         *BOX,
-        planar.edges(F.col("rings")).alias("edges"),
-        planar.centroid(F.col("rings")).alias("c"),
+        planar.edges("rings").alias("edges"),
+        planar.centroid("rings").alias("c"),
     )
     probe = located.select(
         "shape_id",
@@ -227,10 +228,8 @@ def shapes_within(shapes: DataFrame, radii: list[float], per_cell: int = CROWDED
     met = box_pairs(
         probe, blocks.withColumnsRenamed({c: f"k_{c}" for c in block}), reach, reach, per_cell
     )
-    place = [F.col("a_px"), F.col("a_py")]
-    box = [F.col(f"b_{c}") for c in BOX]
-    met = met.withColumn("gap", planar.box_gap(*place, *box)).withColumn(
-        "far", planar.box_far(*place, *box)
+    met = met.withColumn("gap", planar.box_gap("a_px", "a_py", "b_")).withColumn(
+        "far", planar.box_far("a_px", "a_py", "b_")
     )
     whole = met.groupBy(F.col("a_shape_id").alias("shape_id")).agg(
         *[
@@ -280,7 +279,7 @@ def nearest_distance(shapes: DataFrame, start: float = 2.0, factor: float = 5.0)
         F.max("maxx").alias("x1"),
         F.max("maxy").alias("y1"),
     ).first()
-    build = shapes.select("shape_id", planar.edges(F.col("rings")).alias("edges"), *BOX)
+    build = shapes.select("shape_id", planar.edges("rings").alias("edges"), *BOX)
     found = [
         shapes.filter("copies > 1").select("shape_id", F.lit(0.0).alias("closest_distance"))
     ]
@@ -291,7 +290,7 @@ def nearest_distance(shapes: DataFrame, start: float = 2.0, factor: float = 5.0)
     reach = start
     while True:
         pairs = box_pairs(waiting, build, reach).filter("a_shape_id != b_shape_id")
-        gap = planar.polygon_distance(planar.edges(F.col("a_rings")), F.col("b_edges"))
+        gap = planar.polygon_distance(planar.edges_sql("a_rings"), "b_edges")
         hits = (
             pairs.select(F.col("a_shape_id").alias("shape_id"), gap.alias("d"))
             .groupBy("shape_id")

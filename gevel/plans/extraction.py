@@ -161,9 +161,9 @@ def neighbours(table: DataFrame, radii: list[int] = RADII) -> DataFrame:
     shapes = grid.distinct_shapes(table)
     within = grid.shapes_within(shapes, [float(r) for r in radii])
     names = [f"no_neighbours_{r}m" for r in radii]
-    centre = planar.centroid(F.col("rings"))
-    own = shapes.select("shape_id", centre.alias("c"), planar.edges(F.col("rings")).alias("e")).select(
-        "shape_id", planar.point_distance(F.col("c.x"), F.col("c.y"), F.col("e")).alias("own")
+    centre = planar.centroid("rings")
+    own = shapes.select("shape_id", centre.alias("c"), planar.edges("rings").alias("e")).select(
+        "shape_id", planar.point_distance("c.x", "c.y", "e").alias("own")
     )
     values = within.join(own, "shape_id").select(
         "shape_id",
@@ -184,13 +184,13 @@ def residential_only(table: DataFrame) -> DataFrame:
 
 def outline(table: DataFrame, tolerance: float = 0.1) -> DataFrame:
     """Add area, perimeter and vertex counts of the footprint."""
-    rings = F.col("rings")
-    return table.select(
-        "*",
-        planar.area(rings).alias("fp_area"),
-        planar.perimeter(rings).alias("fp_perimeter"),
-        planar.point_count(rings).alias("fp_no_vertices"),
-        planar.point_count(hull.simplify(tolerance)(rings)).alias("fp_no_vertices_simple"),
+    thinned = table.withColumn("__thin", hull.simplify(tolerance)(F.col("rings")))
+    return thinned.select(
+        *table.columns,
+        planar.area("rings").alias("fp_area"),
+        planar.perimeter("rings").alias("fp_perimeter"),
+        planar.point_count("rings").alias("fp_no_vertices"),
+        planar.point_count("__thin").alias("fp_no_vertices_simple"),
     )
 
 
@@ -201,7 +201,7 @@ def length_width(table: DataFrame) -> DataFrame:
     building; ``obb_length`` and ``obb_width`` give those.
     """
     boxed = table.withColumn("__box", hull.oriented_box(F.col("rings")))
-    x1, y1, x2, y2 = planar.box_of(F.col("__box"))
+    x1, y1, x2, y2 = planar.box_of("__box")
     one, two = y2 - y1, x2 - x1
     return boxed.select(
         *table.columns,

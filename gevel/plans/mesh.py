@@ -33,7 +33,7 @@ def solid_metrics(objects: DataFrame) -> DataFrame:
         "id",
         solids.volume(faces).alias("actual_volume"),
         solids.hull_volume("points").alias("convex_hull_volume"),
-        planar.perimeter(F.col("ground_rings")).alias("footprint_perimeter"),
+        planar.perimeter("ground_rings").alias("footprint_perimeter"),
         F.when(F.size("ground_rings") > 0, hull.oriented_box(all_ground)).alias("box"),
         solids.area_of(faces, solids.GROUND).alias("ground_area"),
         solids.area_of(faces, solids.WALL).alias("wall_area"),

@@ -96,7 +96,7 @@ def roof_area_from_model(objects: DataFrame, thematic: DataFrame, geometry: Data
         .join(roofs, F.col("id") == F.col("building_id"))
         .join(faces, "lod2_multi_surface_id")
         .groupBy("bag_id")
-        .agg(F.sum(planar.area(F.col("rings"))).alias("roof_area_lod1_postgis"))
+        .agg(F.sum(planar.area("rings")).alias("roof_area_lod1_postgis"))
     )
 
 
@@ -204,27 +204,25 @@ def adjacent_ids(table: DataFrame, bag_id: str, size: float = 0.1) -> DataFrame:
 
     known = table.filter(labels.counts_for_adjacency(F.col("bag_function")) & F.col("rings").isNotNull())
     return _around(known, bag_id, 5 * size, lambda p: planar.touches_mitre_buffer(
-        F.col("a_rings"), size, F.col("b_edges")
+        "a_rings", size, "b_edges"
     ))
 
 
 def ids_within(table: DataFrame, bag_id: str, radius: float) -> DataFrame:
     """Which buildings lie within a radius of the centroid of a single building."""
     known = table.filter(F.col("rings").isNotNull())
-    centre = planar.centroid(F.col("a_rings"))
-    return _around(
-        known, bag_id, radius, lambda p: planar.let(
-            F.struct(centre.alias("c"), F.col("b_edges").alias("e")),
-            lambda v: planar.point_distance(v["c"]["x"], v["c"]["y"], v["e"]) <= radius,
-        )
+    near = planar.let(
+        planar.centroid_sql("a_rings"),
+        lambda c: f"{planar.point_distance_sql(f'{c}.x', f'{c}.y', 'b_edges')} <= {float(radius)}D",
     )
+    return _around(known, bag_id, radius, lambda p: F.expr(near))
 
 
 def _around(known: DataFrame, bag_id: str, reach: float, test) -> DataFrame:
     from gevel.operators import grid
 
     boxed = planar.with_box(known.select("bag_id", "rings"))
-    build = boxed.select("bag_id", planar.edges(F.col("rings")).alias("edges"), *grid.BOX)
+    build = boxed.select("bag_id", planar.edges("rings").alias("edges"), *grid.BOX)
     pairs = grid.box_pairs(boxed.filter(F.col("bag_id") == bag_id), build, reach)
     found = pairs.filter("a_bag_id != b_bag_id").filter(test(pairs))
     return found.select(F.col("b_bag_id").alias("bag_id"))

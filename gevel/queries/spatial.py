@@ -26,25 +26,25 @@ def _(spark, d):
     )
     tables.write_table(stored, path)
     read = wkb.decode_footprints(tables.read_table(spark, path, stored.schema))
-    return read.select("bag_id", planar.area(F.col("rings")).alias("fp_area"))
+    return read.select("bag_id", planar.area("rings").alias("fp_area"))
 
 
 @query("g1_area", "select bag_id, round((maxx - minx) * (maxy - miny), 6) as fp_area from boxes")
 def _(spark, d):
-    return S.buildings(spark, d).select("bag_id", F.round(planar.area(F.col("rings")), 6).alias("fp_area"))
+    return S.buildings(spark, d).select("bag_id", F.round(planar.area("rings"), 6).alias("fp_area"))
 
 
 @query("g2_perimeter", "select bag_id, round(2 * (maxx - minx + maxy - miny), 6) as fp_perimeter from boxes")
 def _(spark, d):
     return S.buildings(spark, d).select(
-        "bag_id", F.round(planar.perimeter(F.col("rings")), 6).alias("fp_perimeter")
+        "bag_id", F.round(planar.perimeter("rings"), 6).alias("fp_perimeter")
     )
 
 
 @query("g3_point_count", "select bag_id, cast(5 as bigint) as fp_no_vertices from boxes")
 def _(spark, d):
     return S.buildings(spark, d).select(
-        "bag_id", planar.point_count(F.col("rings")).cast("bigint").alias("fp_no_vertices")
+        "bag_id", planar.point_count("rings").cast("bigint").alias("fp_no_vertices")
     )
 
 
@@ -60,13 +60,13 @@ def _(spark, d):
         "bag_id", hull.simplify(0.1)(dented).alias("rings")
     )
     return thinned.select(
-        "bag_id", planar.point_count(F.col("rings")).cast("bigint").alias("fp_no_vertices_simple")
+        "bag_id", planar.point_count("rings").cast("bigint").alias("fp_no_vertices_simple")
     )
 
 
 @query("g5_centroid", "select bag_id, round((minx + maxx) / 2, 6) as x, round((miny + maxy) / 2, 6) as y from boxes")
 def _(spark, d):
-    c = planar.centroid(F.col("rings")).alias("c")
+    c = planar.centroid("rings").alias("c")
     return S.buildings(spark, d).select("bag_id", c).select(
         "bag_id", F.round("c.x", 6).alias("x"), F.round("c.y", 6).alias("y")
     )
@@ -78,7 +78,7 @@ def _(spark, d):
                      + pow(greatest(miny - 150.0, 0, 150.0 - maxy), 2)), 6) as d from boxes""",
 )
 def _(spark, d):
-    gap = planar.point_distance(F.lit(300.0), F.lit(150.0), planar.edges(F.col("rings")))
+    gap = planar.point_distance("300D", "150D", planar.edges_sql("rings"))
     return S.buildings(spark, d).select("bag_id", F.round(gap, 6).alias("d"))
 
 
@@ -93,7 +93,7 @@ def _(spark, d):
     short, long = hull.box_sides(F.col("box"))
     return boxed.select(
         "bag_id",
-        F.round(planar.area(F.col("box")), 6).alias("area"),
+        F.round(planar.area("box"), 6).alias("area"),
         F.round(short, 6).alias("short"),
         F.round(long, 6).alias("long"),
     )

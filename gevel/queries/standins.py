@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gevel.functions import planar
-from gevel.sources.tables import read_table
+from gevel.sources.tables import read_table, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,7 +40,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, size = F.col("p_partkey"), F.col("p_size")
     x0 = (k % 50) * 12.0 + (k * 7) % 3
     y0 = F.floor(k / 50) * 14.0 + (k * 5) % 4
-    return table(spark, sf_dir, "part").select(
+    return spread(table(spark, sf_dir, "part")).select(
         building_id(k).alias("bag_id"),
         "p_partkey",
         "p_size",

@@ -14,6 +14,12 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
     return reader.parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out a table of fewer splits than cores, ahead of costly work per row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def write_table(df: DataFrame, path: str) -> None:
     """Replace the table at ``path``."""
     df.write.mode("overwrite").parquet(path)
