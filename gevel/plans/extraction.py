@@ -95,8 +95,24 @@ def _per_shape(table: DataFrame, shapes: DataFrame, values: DataFrame) -> DataFr
     return table.join(keyed.drop("shape_id"), "rings", "left")
 
 
+def footprint_shapes(table: DataFrame) -> DataFrame:
+    """Distinct footprints with the number of buildings, and of those that count for adjacency.
+
+    Written once: the spatial joins read it several times, and whatever led to
+    ``table`` need not run again for each.
+    """
+    eligible = F.lit(False)
+    if "bag_function" in table.columns:
+        eligible = labels.counts_for_adjacency(F.col("bag_function"))
+    return materialize(grid.distinct_shapes(table, eligible=eligible), "shapes")
+
+
 def adjacency(
-    table: DataFrame, sizes: list[float], names: list[str] | None = None, compat: bool = False
+    table: DataFrame,
+    sizes: list[float],
+    names: list[str] | None = None,
+    compat: bool = False,
+    shapes: DataFrame | None = None,
 ) -> DataFrame:
     """Add first and second-order adjacency for one or more buffer sizes.
 
@@ -107,7 +123,7 @@ def adjacency(
     """
     names = names or ["" if i == 0 else f"_{i}" for i in range(len(sizes))]
     eligible = labels.counts_for_adjacency(F.col("bag_function"))
-    shapes = grid.distinct_shapes(table, eligible=eligible)
+    shapes = footprint_shapes(table) if shapes is None else shapes
     # Used twice below; the outlines are the costly part, so measure them once.
     pairs = materialize(grid.touching_shapes(shapes, sizes), "adjacent")
     n = range(len(sizes))
@@ -156,9 +172,11 @@ def adjacency(
     return rows.select(*table.columns, *added)
 
 
-def neighbours(table: DataFrame, radii: list[int] = RADII) -> DataFrame:
+def neighbours(
+    table: DataFrame, radii: list[int] = RADII, shapes: DataFrame | None = None
+) -> DataFrame:
     """Add ``no_neighbours_<r>m``: other footprints within reach of the centroid."""
-    shapes = grid.distinct_shapes(table)
+    shapes = footprint_shapes(table) if shapes is None else shapes
     within = grid.shapes_within(shapes, [float(r) for r in radii])
     names = [f"no_neighbours_{r}m" for r in radii]
     centre = planar.centroid("rings")
@@ -172,7 +190,7 @@ def neighbours(table: DataFrame, radii: list[int] = RADII) -> DataFrame:
             for i, (r, n) in enumerate(zip(radii, names))
         ],
     )
-    rows = _per_shape(table, shapes, values).drop("copies")
+    rows = _per_shape(table, shapes.drop("eligible"), values).drop("copies")
     for n in names:
         rows = rows.withColumn(n, scalars.zero_if_present(F.col(n), F.col("rings")))
     return rows
@@ -264,8 +282,11 @@ def extract_features(
     """The whole stage: ``table`` holds ``bag_id`` and ``building_type``."""
     t = building_function(table, units)
     t = footprint(t, pand)
-    t = adjacency(t, [buffer_size])
-    t = neighbours(t, radii)
+    # Registry joins end here; everything spatial starts from this table.
+    t = materialize(t, "located")
+    shapes = footprint_shapes(t)
+    t = adjacency(t, [buffer_size], shapes=shapes)
+    t = neighbours(t, radii, shapes=shapes)
     t = residential_only(t)
     t = construction_year(t, pand)
     t = dwellings(t, units)

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from gevel.functions import hull, planar, solids
 from gevel.operators import grid
 from gevel.plans.extraction import _per_shape
+from gevel.session import materialize
 from gevel.sources.metrics_csv import METRICS
 
 
@@ -157,12 +158,13 @@ def shared_walls(objects: DataFrame, tolerance: float = 0.1) -> DataFrame:
 
 def closest(footprints: DataFrame) -> DataFrame:
     """Add ``closest_distance``: to the nearest other footprint."""
-    shapes = grid.distinct_shapes(footprints)
+    shapes = materialize(grid.distinct_shapes(footprints), "shapes")
     return _per_shape(footprints, shapes, grid.nearest_distance(shapes)).drop("copies")
 
 
 def mesh_metrics(objects: DataFrame) -> DataFrame:
     """All metrics of the solids of one level of detail, ready for the CSV sink."""
+    objects = materialize(objects.select("id", "faces"), "solids")
     base = solid_metrics(objects)
     outlines = objects.select(
         F.col("id").alias("bag_id"),

@@ -29,7 +29,9 @@ def classed(spark, d) -> DataFrame:
     held = (spark.sparkContext.applicationId, d)
     if held not in _READY:
         t = S.buildings(spark, d).withColumn("bag_function", F.lit("Residential"))
-        t = extraction.neighbours(extraction.adjacency(t, [0.1]), [25])
+        shapes = extraction.footprint_shapes(t)
+        t = extraction.adjacency(t, [0.1], shapes=shapes)
+        t = extraction.neighbours(t, [25], shapes=shapes)
         t = extraction.outline(t)
         n, nn = F.col("no_adjacent_bldg"), F.col("no_adjacent_of_adja_bldg")
         kinds = ["detached", "semi", "end", "terraced"]
