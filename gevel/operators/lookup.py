@@ -58,20 +58,24 @@ def flatten(df: DataFrame, column: str, alias: str) -> DataFrame:
     return df.withColumn(alias, F.explode(column))
 
 
-def collect_counted(df: DataFrame, key: str, value: str, alias: str) -> DataFrame:
+def collect_counted(
+    df: DataFrame, key: str, value: str, alias: str, count: str | None = None
+) -> DataFrame:
     """All values per key, nulls and repeats kept, as ``array<struct<value,n>>``.
 
     Repeats are counted ahead of the shuffle, so that a key holding a large
-    share of the rows still gives one short array.
+    share of the rows still gives one short array. ``count`` names a column
+    of counts if the rows come counted.
     """
-    counted = df.groupBy(key, F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    n = F.count(F.lit(1)) if count is None else F.sum(count)
+    counted = df.groupBy(key, F.col(value).alias("value")).agg(n.alias("n"))
     return counted.groupBy(key).agg(
         F.sort_array(F.collect_list(F.struct("value", "n"))).alias(alias)
     )
 
 
 def expand_counted(counted: Column) -> Column:
-    """The plain array behind :func:`collect_counted`, in sorted order."""
+    """The plain array behind :func:`collect_counted`, in sorted order; as long as the group."""
     return F.flatten(F.transform(counted, lambda e: F.array_repeat(e["value"], e["n"].cast("int"))))
 
 

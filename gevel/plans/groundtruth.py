@@ -31,22 +31,41 @@ def attribute_labels(objects: DataFrame, rows: DataFrame, name: str = "dutch_bui
     )
 
 
-def labelled_units(energy: DataFrame, units: DataFrame, pand: DataFrame) -> DataFrame:
-    """``(bag_id, label)``: energy labels of units in use, in buildings in use."""
+def unit_labels(energy: DataFrame, units: DataFrame) -> DataFrame:
+    """``(bag_id, label)``: energy labels of units in use."""
     numbered = energy.select(
         F.concat(F.lit(labels.UNIT_PREFIX), F.col("Pand_bagverblijfsobjectid")).alias("identificatie"),
         F.col("Pand_gebouwtype").alias("label"),
     )
-    standing = pand.filter(
+    held = numbered.join(units_in_use(units).select("identificatie", "pandref"), "identificatie")
+    return flatten(held, "pandref", "bag_id").select("bag_id", "label")
+
+
+def standing_buildings(pand: DataFrame) -> DataFrame:
+    """``bag_id`` of buildings in use."""
+    return pand.filter(
         F.col("status").startswith(labels.BUILDING_IN_USE) & F.col("eindgeldigheid").isNull()
     ).select(F.col("identificatie").alias("bag_id"))
-    held = numbered.join(units_in_use(units).select("identificatie", "pandref"), "identificatie")
-    return flatten(held, "pandref", "bag_id").join(standing, "bag_id").select("bag_id", "label")
+
+
+def labelled_units(energy: DataFrame, units: DataFrame, pand: DataFrame) -> DataFrame:
+    """``(bag_id, label, n)``: energy labels of units in use, in buildings in use.
+
+    Labels are counted ahead of the join, so that a building with very many
+    units brings a few rows to it.
+    """
+    counted = unit_labels(energy, units).groupBy("bag_id", "label").agg(F.count(F.lit(1)).alias("k"))
+    versions = standing_buildings(pand).groupBy("bag_id").agg(F.count(F.lit(1)).alias("times"))
+    return counted.join(versions, "bag_id").select(
+        "bag_id", "label", (F.col("k") * F.col("times")).alias("n")
+    )
 
 
 def register_labels(energy: DataFrame, units: DataFrame, pand: DataFrame) -> DataFrame:
     """All labels per building, counted: ``building_type array<struct<value,n>>``."""
-    return collect_counted(labelled_units(energy, units, pand), "bag_id", "label", "building_type")
+    return collect_counted(
+        labelled_units(energy, units, pand), "bag_id", "label", "building_type", count="n"
+    )
 
 
 def area_labels(objects: DataFrame, registered: DataFrame) -> DataFrame:

@@ -128,9 +128,20 @@ def walls(objects: DataFrame) -> DataFrame:
 
 
 def shared_walls(objects: DataFrame, tolerance: float = 0.1) -> DataFrame:
-    """``(id, shared_walls_area)``: wall area covered by a facing wall of another object."""
-    w = walls(objects)
-    pairs = grid.box_pairs(w, w, tolerance, cell=25.0).filter("a_id != b_id")
+    """``(id, shared_walls_area)``: wall area covered by facing walls of other objects.
+
+    Equal walls are joined once, with their number of copies as a weight; what
+    an object's own walls contribute that way is taken off again.
+    """
+    rows = materialize(walls(objects), "walls")
+    place = ["nx", "ny", *grid.BOX]
+    shapes = rows.groupBy("ring").agg(
+        F.min(F.struct("id", "face_no")).alias("wall"),
+        F.count(F.lit(1)).alias("copies"),
+        *[F.first(c).alias(c) for c in place],
+    )
+    shapes = materialize(shapes, "wall_shapes")
+    pairs = grid.box_pairs(shapes, shapes, tolerance, cell=25.0)
     # Facing each other, in one plane up to the tolerance.
     facing = F.col("a_nx") * F.col("b_nx") + F.col("a_ny") * F.col("b_ny") <= -1.0 + 1e-6
     pa, pb = F.col("a_ring")[0], F.col("b_ring")[0]
@@ -150,10 +161,19 @@ def shared_walls(objects: DataFrame, tolerance: float = 0.1) -> DataFrame:
             ),
         )
 
-    shared = pairs.select(
-        F.col("a_id").alias("id"), wall_overlap(in_plane("a_ring"), in_plane("b_ring")).alias("area")
+    area = wall_overlap(in_plane("a_ring"), in_plane("b_ring"))
+    pairs = materialize(pairs.select("a_wall", "b_wall", "b_copies", area.alias("area")), "facing")
+    held = rows.join(shapes.select("ring", "wall"), "ring").select("id", "wall")
+    seen = pairs.groupBy(F.col("a_wall").alias("wall")).agg(
+        F.sum(F.col("area") * F.col("b_copies")).alias("area")
+    )
+    own = (
+        pairs.join(held.withColumnRenamed("wall", "a_wall"), "a_wall")
+        .join(held.withColumnRenamed("wall", "b_wall"), ["id", "b_wall"])
+        .select("id", (-F.col("area")).alias("area"))
     )
-    return shared.groupBy("id").agg(F.sum("area").alias("shared_walls_area"))
+    parts = held.join(seen, "wall").select("id", "area").unionByName(own)
+    return parts.groupBy("id").agg(F.sum("area").alias("shared_walls_area"))
 
 
 def closest(footprints: DataFrame) -> DataFrame:

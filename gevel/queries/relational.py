@@ -310,7 +310,7 @@ def _(spark, d):
 )
 def _(spark, d):
     held = groundtruth.labelled_units(S.energy(spark, d), S.units(spark, d), S.pand(spark, d))
-    return held.groupBy("bag_id", "label").agg(F.count(F.lit(1)).alias("n"))
+    return held.select("bag_id", "label", "n")
 
 
 @query(

@@ -174,17 +174,19 @@ def _(spark, d):
 @query(
     "x14_register_labels",
     """select bag_id, cast(sum(n) as bigint) as size,
-              string_agg(repeat(coalesce(label, '?') || ',', n), '' order by label nulls first) as labels
+              count(*) as kinds, cast(coalesce(sum(n) filter (where label is null), 0) as bigint) as missing,
+              max(n) as most
        from labels_ep group by bag_id""",
 )
 def _(spark, d):
     held = groundtruth.register_labels(S.energy(spark, d), S.units(spark, d), S.pand(spark, d))
-    plain = lookup.expand_counted(F.col("building_type"))
-    named = F.transform(plain, lambda v: F.concat(F.coalesce(v, F.lit("?")), F.lit(",")))
+    t = F.col("building_type")
     return held.select(
         "bag_id",
-        F.size(plain).cast("bigint").alias("size"),
-        F.concat_ws("", named).alias("labels"),
+        lookup.counted_size(t).alias("size"),
+        F.size(t).cast("bigint").alias("kinds"),
+        lookup.counted_size(F.filter(t, lambda e: e["value"].isNull())).alias("missing"),
+        F.array_max(F.transform(t, lambda e: e["n"])).alias("most"),
     )
 
 

@@ -140,3 +140,16 @@ def test_publish_switches_and_guards(spark):
     assert tables.read_published(spark, root).count() == 3
     tables.publish(spark.range(5), root, key="id")
     assert tables.read_published(spark, root).count() == 5
+
+
+def test_shared_walls_with_copies(spark):
+    def house(i, x0, x1):
+        pts = [(x, y, z) for z in (0.0, 3.0) for x, y in ((x0, 0.0), (x1, 0.0), (x1, 6.0), (x0, 6.0))]
+        face = lambda f: [dict(zip("xyz", map(float, pts[k]))) for k in f + f[:1]]
+        return (i, [{"surface": KINDS[v], "rings": [face(f)]} for f, v in zip(CUBE, VALUES)])
+
+    # Three copies beside one house, and a house thinner than the tolerance, facing itself.
+    rows = [house("a1", 0, 4), house("a2", 0, 4), house("a3", 0, 4), house("b", 4, 8), house("t", 30, 30.05)]
+    df = spark.createDataFrame(rows, f"id string, faces {solids.FACES_TYPE}")
+    got = {r.id: r.shared_walls_area for r in mesh.shared_walls(df).collect()}
+    assert {k: v for k, v in got.items() if abs(v) > 1e-9} == pytest.approx({"a1": 18, "a2": 18, "a3": 18, "b": 54})
