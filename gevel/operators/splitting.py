@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gevel.operators.ranking import rank_by_hash
+from gevel.session import materialize
 
 MAX_CLASSES = 10_000
 
@@ -53,8 +54,8 @@ def mark_test(
 
 
 def split(df: DataFrame, label: str, key: str, share: float = 0.2, seed: int = 0):
-    """``(train, test)``."""
-    marked = mark_test(df, label, key, share, seed)
+    """``(train, test)``, written once: fitting reads them many times over."""
+    marked = materialize(mark_test(df, label, key, share, seed), "split")
     return marked.filter("not is_test").drop("is_test"), marked.filter("is_test").drop("is_test")
 
 
