@@ -75,10 +75,15 @@ def fraction(seed: str, *columns: Column) -> Column:
     return F.conv(digits, 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def kept_in(docs: DataFrame, keys: DataFrame, how: str = "left_semi", text: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose (doc_id, text hash) is in ``keys`` (columns ``k_id``, ``k_hash``)."""
-    return docs.join(keys, docs["doc_id"].eqNullSafe(keys["k_id"]) & (text_hash_of(docs, text) == keys["k_hash"]), how)
+#: Stands for a missing doc_id in join keys.
+NO_ID = -(1 << 62)
 
 
-def text_hash_of(docs: DataFrame, text: str = "text") -> Column:
-    return F.xxhash64(F.coalesce(docs[text], F.lit("")))
+def known_id(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("long"), F.lit(NO_ID))
+
+
+def same_doc(docs: DataFrame, keys: DataFrame) -> Column:
+    """Whether rows are the same document: ``keys`` has ``k_id`` (may be null) and ``k_hash``."""
+    hashed = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    return (known_id(docs["doc_id"]) == known_id(keys["k_id"])) & (hashed == keys["k_hash"])

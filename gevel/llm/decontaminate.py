@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gevel.llm.common import ALNUM, keep_table, map_arrow, text_hash, utf8, word_chunks
+from gevel.llm.common import ALNUM, keep_table, map_arrow, same_doc, text_hash, utf8, word_chunks
 
 WINDOW = 10
 #: Words of a block in the shift tables.
@@ -179,10 +179,7 @@ def clean_only(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents in which a benchmark passage occurs; null and empty texts stay."""
     found = find_passages(docs, benchmark).where(F.size("hits") > 0)
     keys = found.select(F.col("doc_id").alias("k_id"), "k_hash").distinct()
-    same = docs["doc_id"].cast("long").eqNullSafe(keys["k_id"]) & (
-        F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == keys["k_hash"]
-    )
-    return docs.join(keys, same, "left_anti")
+    return docs.join(keys, same_doc(docs, keys), "left_anti")
 
 
 #: DuckDB: the digest, from windows joined to windows.

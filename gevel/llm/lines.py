@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gevel.llm.common import keep_table, map_arrow, text_hash, utf8
+from gevel.llm.common import keep_table, map_arrow, same_doc, text_hash, utf8
 
 #: Lines whose hashes roll into a boundary decision.
 ROLL = 2
@@ -130,12 +130,6 @@ def _place():
     return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("k_hash"), F.col("at"))
 
 
-def _same_doc(docs: DataFrame, keys: DataFrame):
-    return docs["doc_id"].cast("long").eqNullSafe(keys["k_id"]) & (
-        F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == keys["k_hash"]
-    )
-
-
 def repeated(docs: DataFrame) -> DataFrame:
     """(doc_id, k_hash, at): chunks of several lines that stand, byte for byte, at an earlier place too.
 
@@ -153,12 +147,12 @@ def repeated(docs: DataFrame) -> DataFrame:
     wanted = again.groupBy(F.col("doc_id").alias("k_id"), "k_hash").agg(
         F.collect_list(F.struct("at", "c1", "c2")).alias("wanted")
     )
-    asked = docs.join(wanted, _same_doc(docs, wanted)).select(
+    asked = docs.join(wanted, same_doc(docs, wanted)).select(
         wanted["k_id"].alias("doc_id"), wanted["k_hash"], docs["text"], "wanted"
     )
-    found = map_arrow(asked.dropDuplicates(["doc_id", "k_hash"]), _bytes, f"{CHUNK}, data binary")
+    found = map_arrow(asked, _bytes, f"{CHUNK}, data binary")
     # equal bytes collapse before the shuffle, however many documents hold them
-    strings = found.groupBy("c1", "c2", "data").agg(F.min(_place()).alias("first"), F.count(F.lit(1)).alias("n"))
+    strings = found.groupBy("c1", "c2", "data").agg(F.min(_place()).alias("first"))
     keys, _ = keep_table(
         strings.groupBy(F.col("c1").alias("d1"), F.col("c2").alias("d2")).agg(
             F.count(F.lit(1)).alias("strings"), F.min("first").alias("first")
@@ -212,7 +206,7 @@ def cut_lines(docs: DataFrame) -> DataFrame:
     be: a place is a document and a position. No rows: no rows.
     """
     gone = repeated(docs).groupBy(F.col("doc_id").alias("k_id"), "k_hash").agg(F.collect_list("at").alias(CUT))
-    joined = docs.join(gone, _same_doc(docs, gone), "left").select(*[docs[c] for c in docs.columns], CUT)
+    joined = docs.join(gone, same_doc(docs, gone), "left").select(*[docs[c] for c in docs.columns], CUT)
     counts = T.StructType([T.StructField(n, T.LongType()) for n in ("n_chunks", "n_removed", "n_lines_removed")])
     schema = T.StructType([*joined.drop(CUT).schema.fields, T.StructField(CUT, counts)])
     text_at = [c.lower() for c in docs.columns].index("text")

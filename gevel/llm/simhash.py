@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gevel.llm.common import LOWER, keep_table, kept_in, map_arrow, text_hash, utf8, word_chunks
+from gevel.llm.common import LOWER, keep_table, known_id, map_arrow, text_hash, utf8, word_chunks
 from gevel.llm.components import components
 
 WORDS = 4
@@ -211,9 +211,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     groups = near_copies(docs)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("k_hash"))
     best = groups.groupBy("root").agg(F.min(order).alias("m"))
-    keys = best.select(F.col("m.doc_id").alias("k_id"), F.col("m.k_hash").alias("k_hash"))
-    slim = docs.withColumn("__llm_hash", text_hash())
-    return kept_in(slim, keys).dropDuplicates(["doc_id", "__llm_hash"]).drop("__llm_hash")
+    keys = best.select(known_id(F.col("m.doc_id")).alias("__llm_id"), F.col("m.k_hash").alias("__llm_hash"))
+    keyed = docs.withColumns({"__llm_id": known_id(F.col("doc_id")), "__llm_hash": text_hash()})
+    own = ["__llm_id", "__llm_hash"]
+    return keyed.join(keys, own, "left_semi").dropDuplicates(own).drop(*own)
 
 
 def digest(groups: DataFrame) -> DataFrame:
