@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gevel.llm import decontaminate, lines, mixing, simhash, toxicity
+from gevel.llm import decontaminate, lines, mixing, pii, rules, simhash, sites, suffixes, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,11 +25,21 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(found)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return pii.digest(pii.find(_table(spark, sf_dir, "documents")))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each document comes in the mix."""
     return mixing.digest(mixing.rates(_table(spark, sf_dir, "documents")))
 
 
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the urls of all pages."""
+    return urls.digest(urls.judge(_table(spark, sf_dir, "pages")))
+
+
 def op6_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without repeated multi-line chunks."""
     return lines.digest(lines.cut_lines(_table(spark, sf_dir, "documents")))
@@ -39,7 +50,35 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(toxicity.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and likelihood ratio of all documents."""
+    return rules.digest(rules.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
+
+
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without repeated strings of 400 bytes."""
+    return suffixes.digest(suffixes.remove_repeats(_table(spark, sf_dir, "documents")))
+
+
+def op10_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, their source as site and language as path."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return sites.site_scores(docs, labels, F.col("source"), F.col("lang"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash, op2_decontaminate, op4_mixing, op6_line_chunks, op7_toxicity)
+    f.__name__: f
+    for f in (
+        op1_simhash,
+        op2_decontaminate,
+        op3_pii,
+        op4_mixing,
+        op5_urls,
+        op6_line_chunks,
+        op7_toxicity,
+        op8_quality_rules,
+        op9_suffixes,
+        op10_sites,
+    )
 }
 ORACLES: dict[str, str] = {"op2_decontaminate": decontaminate.SQL, "op4_mixing": mixing.SQL}
