@@ -25,7 +25,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(a, b) links to (node, root): the smallest node reachable. Nodes without links are absent.
+    """(a, b) links to (node, root): the smallest node reachable. Roots and nodes without links are absent.
 
     Every round is written to the shared folder and the one before removed, so a
     lost executor costs a round at most. A hub's links are joined, not gathered:

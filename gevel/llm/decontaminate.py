@@ -96,7 +96,7 @@ class Tables:
                     items.update(owners)
 
                 tables.search(ids, emit)
-            held = ids[len(ids) - longest + 1 :] if longest > 1 else []
+            held = ids[max(0, len(ids) - longest + 1) :] if longest > 1 else []
         return total, merge(spans), items
 
 

@@ -137,7 +137,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     the candidates; their bytes are then grouped, and a hash that stands for more than
     one string is settled string by string.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("k_hash"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select("doc_id", text_hash().alias("k_hash"), "text")
     hashed, _ = keep_table(map_arrow(rows, _hashes, CHUNK).distinct(), "chunks")
     often = hashed.groupBy(F.col("c1").alias("d1"), F.col("c2").alias("d2")).agg(F.count(F.lit(1)).alias("n"))
     often = often.where("n > 1")

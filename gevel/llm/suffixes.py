@@ -258,7 +258,8 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     4. An anchor string with more than ``CROWD`` contexts, which one task should not
        hold, is settled by counting digests of its strings instead: the same answer.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("k_hash"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select("doc_id", text_hash().alias("k_hash"), "text")
     places, _ = keep_table(map_arrow(rows, _places, PLACE), "places")
     often = (
         places.groupBy(F.col("c").alias("c2"))
@@ -344,12 +345,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     they lose what is 400 bytes or longer. Null doc_id: a document like others. No
     rows: no rows.
     """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ranges = repeated_starts(docs)
     starts = ranges.groupBy(F.col("doc_id").alias("k_id"), "k_hash").agg(
         F.collect_list(F.struct("first", "last")).alias("starts")
     )
     joined = docs.join(starts, same_doc(docs, starts), "left").select(
-        docs["doc_id"].cast("long").alias("doc_id"), docs["text"], "starts"
+        docs["doc_id"], docs["text"], "starts"
     )
     return map_arrow(joined, _kept, KEPT)
 

@@ -99,9 +99,10 @@ def train_rows(docs: DataFrame, labels: DataFrame, label: str) -> tuple[list[tup
     thinned by a hash of the text, so that copies of one text come or go together and
     the choice depends on nothing but texts and counts.
     """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = (
         labels.where(F.col(label).isin(0, 1))
-        .select(F.col("doc_id").alias("l_id"), F.col(label).cast("int").alias("y"))
+        .select(F.col("doc_id").cast("long").alias("l_id"), F.col(label).cast("int").alias("y"))
         .where(F.crc32(F.col("l_id").cast("string")) % 5 != 0)
         .groupBy("l_id")
         .agg(F.max("y").alias("y"))
