@@ -70,7 +70,7 @@ def check(spark, pages):
 
 
 PAGES = [
-    (1, "http://WWW.Example.com/en/x?q#f", '<a href="http://bad.net/fr/">x</a>'),
+    (1, "http://WWW.Example.com/en/x?q#f", '<a href="http://shop.com/fr/">x</a>'),
     (2, "https://a.example.com/en/", None),
     (3, "https://a.example.com", '<a href="//Good.org:80/a">x</a>'),
     (4, "http://bad.net/fr/1", '<a HREF = \'https://friend.org/x\'>y</a>'),
