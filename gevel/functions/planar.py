@@ -58,9 +58,9 @@ def rectangle(minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
 
 
 def box_of(rings: str) -> list[Column]:
-    """``minx, miny, maxx, maxy`` of the shell."""
+    """``minx, miny, maxx, maxy`` of all rings."""
     return [
-        F.expr(f"array_{end}({each(f'{rings}[0]', lambda p: f'{p}.{axis}')})").alias(f"{end}{axis}")
+        F.expr(f"array_{end}({each(f'flatten({rings})', lambda p: f'{p}.{axis}')})").alias(f"{end}{axis}")
         for end, axis in (("min", "x"), ("min", "y"), ("max", "x"), ("max", "y"))
     ]
 

@@ -107,6 +107,52 @@ def flat_rings(faces: Column, kind: str) -> Column:
     )
 
 
+def all_flat_rings(faces: Column, kind: str) -> Column:
+    """All rings of the faces of one kind seen from above, holes included."""
+    return F.flatten(
+        F.transform(
+            _of_kind(faces, kind),
+            lambda f: F.transform(
+                f["rings"],
+                lambda r: F.transform(r, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))),
+            ),
+        )
+    )
+
+
+def outline_length(faces: Column, kind: str) -> Column:
+    """Length, seen from above, of the edges that only one face of a kind has.
+
+    An edge between two faces is not part of their common outline; the two run along
+    it in opposite directions, so edges are compared with sorted ends.
+    """
+
+    def sides(ring: Column) -> Column:
+        n = F.greatest(F.size(ring) - 1, F.lit(0))
+        pairs = F.arrays_zip(
+            F.slice(ring, F.lit(1), n).alias("p"), F.slice(ring, F.lit(2), n).alias("q")
+        )
+        return F.transform(
+            pairs,
+            lambda e: F.struct(F.least(e["p"], e["q"]).alias("p"), F.greatest(e["p"], e["q"]).alias("q")),
+        )
+
+    edges = F.array_sort(F.flatten(F.transform(all_flat_rings(faces, kind), sides)))
+    # The one-element transform sorts once.
+    single = F.transform(
+        F.array(edges),
+        lambda all_: F.filter(
+            all_,
+            lambda e, i: ~e.eqNullSafe(F.get(all_, i - 1)) & ~e.eqNullSafe(F.get(all_, i + 1)),
+        ),
+    )[0]
+    return F.aggregate(
+        single,
+        F.lit(0.0),
+        lambda acc, e: acc + F.hypot(e["q"]["x"] - e["p"]["x"], e["q"]["y"] - e["p"]["y"]),
+    )
+
+
 def highest(points: Column) -> Column:
     return F.array_max(F.transform(points, lambda p: p["z"]))
 

@@ -13,17 +13,17 @@ from gevel.session import materialize
 MAX_CLASSES = 10_000
 
 
-def class_counts(df: DataFrame, label: str) -> dict[str, int]:
-    """Rows per class; a column with very many values is not a class column."""
+def class_counts(df: DataFrame, label: str, most: int = MAX_CLASSES) -> dict[str, int]:
+    """Rows per class; a column with more than ``most`` values is not a class column."""
     rows = (
         df.filter(F.col(label).isNotNull())
         .groupBy(label)
         .agg(F.count(F.lit(1)).alias("n"))
-        .limit(MAX_CLASSES + 1)
+        .limit(most + 1)
         .collect()
     )
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"{label} has more than {MAX_CLASSES} values")
+    if len(rows) > most:
+        raise ValueError(f"{label} has more than {most} values")
     return {r[label]: r["n"] for r in sorted(rows, key=lambda r: r[label])}
 
 

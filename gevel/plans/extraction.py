@@ -23,7 +23,7 @@ REDUNDANT = [
     "fp_no_vertices_simple", "ground_point_count_lod1", "ground_point_count_lod2",
     "fp_length", "fp_width", "obb_width_lod2", "obb_length_lod2", "bag_function", "footprint_geom",
     "height_min_roof_lod1", "shared_walls_area_lod1", "shared_walls_area_lod2",
-    "closest_distance_lod1", "closest_distance_lod2",
+    "closest_distance_lod1", "closest_distance_lod2", "roof_type",
 ]
 REQUIRED = [
     "building_type", "actual_volume_lod1", "convex_hull_volume_lod1", "obb_width_lod1",

@@ -15,11 +15,11 @@ BUILDING_CLASS = 26
 EXCLUDED = ["NL.IMBAG.Pand.0150100000059983"]
 
 
-def study_buildings(objects: DataFrame, named_only: bool = True) -> DataFrame:
-    """``bag_id`` of the building objects of an area."""
+def study_buildings(objects: DataFrame, named_only: bool = True, excluded: list[str] | None = None) -> DataFrame:
+    """``bag_id`` of the building objects of an area; ``excluded`` are left out of the named ones."""
     kept = objects.filter(F.col("objectclass_id") == BUILDING_CLASS)
     if named_only:
-        kept = kept.filter(F.col("name").isNotNull() & ~F.col("gmlid").isin(EXCLUDED))
+        kept = kept.filter(F.col("name").isNotNull() & ~F.col("gmlid").isin(EXCLUDED if excluded is None else excluded))
     return kept.select(F.col("gmlid").alias("bag_id"))
 
 

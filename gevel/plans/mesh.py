@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gevel.functions import hull, planar, solids
+from gevel.functions import hull, solids
 from gevel.operators import grid
 from gevel.plans.extraction import _per_shape
 from gevel.session import materialize
@@ -34,7 +34,7 @@ def solid_metrics(objects: DataFrame) -> DataFrame:
         "id",
         solids.volume(faces).alias("actual_volume"),
         solids.hull_volume("points").alias("convex_hull_volume"),
-        planar.perimeter("ground_rings").alias("footprint_perimeter"),
+        solids.outline_length(faces, solids.GROUND).alias("footprint_perimeter"),
         F.when(F.size("ground_rings") > 0, hull.oriented_box(all_ground)).alias("box"),
         solids.area_of(faces, solids.GROUND).alias("ground_area"),
         solids.area_of(faces, solids.WALL).alias("wall_area"),
@@ -188,7 +188,7 @@ def mesh_metrics(objects: DataFrame) -> DataFrame:
     base = solid_metrics(objects)
     outlines = objects.select(
         F.col("id").alias("bag_id"),
-        F.slice(solids.flat_rings(F.col("faces"), solids.GROUND), 1, 1).alias("rings"),
+        solids.all_flat_rings(F.col("faces"), solids.GROUND).alias("rings"),
     ).filter("size(rings) > 0")
     near = closest(outlines).select(F.col("bag_id").alias("id"), "closest_distance")
     out = base.join(shared_walls(objects), "id", "left").join(near, "id", "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LinearSVC, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, VectorAssembler
@@ -51,14 +53,30 @@ FOREST_PARAMS = {
 MAX_DEPTH = 30
 
 
+FOREST_NAMES = [*FOREST_PARAMS, "criterion", "max_features", "class_weight"]
+SVM_NAMES = ["C", "tol", "max_iter", "class_weight"]
+# Known settings without a counterpart in Spark ML.
+REFUSED = ["min_samples_split", "loss", "dual"]
+
+
+def check_names(params: dict, known: list[str]) -> None:
+    """A setting that would have no effect is an error."""
+    unknown = sorted(set(params) - set(known))
+    if unknown:
+        why = "have no counterpart in Spark ML" if set(unknown) <= set(REFUSED) else "are not known"
+        raise ValueError(f"the parameters {unknown} {why}")
+
+
 def forest(params: dict | None = None) -> RandomForestClassifier:
-    """A random forest; depth is limited to 30, ``min_samples_split`` has no counterpart."""
+    """A random forest; trees grow to depth 30 at most, and a deeper setting is an error."""
     params = dict(params or {})
+    check_names(params, FOREST_NAMES)
+    if (params.get("max_depth") or 0) > MAX_DEPTH:
+        raise ValueError(f"max_depth {params['max_depth']} is beyond the {MAX_DEPTH} that Spark ML grows")
     model = RandomForestClassifier(seed=0, numTrees=100, maxDepth=MAX_DEPTH, cacheNodeIds=True)
     for name, target in FOREST_PARAMS.items():
         if params.get(name) is not None:
-            value = params[name]
-            model.set(model.getParam(target), min(value, MAX_DEPTH) if name == "max_depth" else value)
+            model.set(model.getParam(target), params[name])
     if params.get("criterion"):
         model.setImpurity("gini" if params["criterion"] == "gini" else "entropy")
     if params.get("max_features"):
@@ -69,6 +87,7 @@ def forest(params: dict | None = None) -> RandomForestClassifier:
 def linear_svm(rows: int, params: dict | None = None) -> OneVsRest:
     """One linear support-vector machine per class (hinge loss)."""
     params = params or {}
+    check_names(params, SVM_NAMES)
     base = LinearSVC(
         regParam=1.0 / (params.get("C", 1.0) * max(rows, 1)),
         tol=float(params.get("tol", 1e-4)),
@@ -145,9 +164,19 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def fit_or_load(train: DataFrame, algorithm: str, path: str, params: dict | None = None) -> PipelineModel:
-    """The model saved at ``path``; fitted and saved there first if there is none."""
-    if not _exists(train.sparkSession, f"{path}/metadata"):
-        fit_classifier(train, algorithm, params).write().save(path)
+    """The model saved at ``path``; fitted and saved there first if there is none.
+
+    A model is saved beside its place and then renamed, so that what is there is whole.
+    """
+    if not _exists(train.sparkSession, path):
+        beside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+        fit_classifier(train, algorithm, params).write().save(beside)
+        jvm = train.sparkSession.sparkContext._jvm
+        source, target = jvm.org.apache.hadoop.fs.Path(beside), jvm.org.apache.hadoop.fs.Path(path)
+        fs = target.getFileSystem(train.sparkSession.sparkContext._jsc.hadoopConfiguration())
+        # A second writer may have been faster; its model then counts.
+        if _exists(train.sparkSession, path) or not fs.rename(source, target):
+            fs.delete(source, True)
     return PipelineModel.load(path)
 
 

@@ -100,8 +100,9 @@ def _(spark, d):
 @query(
     "a12_histogram",
     " union all ".join(
-        f"""select '{c}' as feature, cast(least(floor(({c} - lo) / ((hi - lo) / 10)), 9) as bigint) as bin, count(*) as n
-            from lineitem, (select min({c}) as lo, max({c}) as hi from lineitem) group by 1, 2"""
+        f"""select '{c}' as feature, b.i as bin,
+                   count(*) filter (where cast(least(floor(({c} - lo) / ((hi - lo) / 10)), 9) as bigint) = b.i) as n
+            from lineitem, (select min({c}) as lo, max({c}) as hi from lineitem), range(10) b(i) group by 1, 2"""
         for c in ["l_quantity", "l_extendedprice"]
     ),
 )
@@ -262,9 +263,44 @@ def _(spark, d):
     return t.select("feature", F.round("score", 4).alias("score"))
 
 
-@query("m5_mutual_information")
-def _(spark, d):
-    return scores.mutual_information(classed(spark, d), FEATURES, "building_type", "bag_id")
+# Nearest-neighbour information over distinct values; digamma as a harmonic number, whose constant cancels.
+_MUTUAL = f"""
+    with mi_long as (select feature, building_type as y, cast(v as double) as v
+                  from (unpivot {CLASSED} on {", ".join(FEATURES)} into name feature value v) where v is not null),
+    mi_harmonic as (select i, sum(1.0 / i) over (order by i) as h from range(1, (select count(*) + 1 from classed)) t(i)),
+    mi_own0 as (select feature, y, v, count(*) as n_own from mi_long group by all),
+    mi_own as (select *, sum(n_own) over (partition by feature, y) as n_class from mi_own0),
+    mi_kept as (select *, sum(n_own) over (partition by feature, v) as n_all, least(3, n_class - 1) as k from mi_own where n_class > 1),
+    mi_gaps as (select a.feature, a.y, a.v, a.k, abs(b.v - a.v) as gap, b.v as pt,
+                    sum(case when a.v = b.v then b.n_own - 1 else b.n_own end)
+                        over (partition by a.feature, a.y, a.v order by abs(b.v - a.v), b.v) as upto
+             from mi_kept a join mi_kept b using (feature, y) where a.n_own <= a.k),
+    mi_kth as (select feature, y, v, arg_min(gap, upto) as r, arg_min(pt, upto) as pt from mi_gaps where upto >= k group by all),
+    mi_vals as (select distinct feature, v, n_all from mi_kept),
+    mi_near as (select k.feature, k.y, k.v, sum(x.n_all) as m
+             from mi_kth k join mi_vals x on x.feature = k.feature
+              and x.v > case when pt < k.v then pt else k.v - r end and x.v < case when pt > k.v then pt else k.v + r end
+             group by all),
+    mi_terms as (
+      select kept.feature, n_own, hk.h as own, hc.h as class,
+             case when n_own > kept.k then hk.h + ha.h - ho.h else hm.h end as near
+      from mi_kept kept left join mi_near n using (feature, y, v)
+      asof left join (select i + 1 as i, h from mi_harmonic union all select 1, 0) hk on kept.k >= hk.i
+      asof left join (select i + 1 as i, h from mi_harmonic union all select 1, 0) hc on kept.n_class >= hc.i
+      asof left join (select i + 1 as i, h from mi_harmonic union all select 1, 0) ha on kept.n_all >= ha.i
+      asof left join (select i + 1 as i, h from mi_harmonic union all select 1, 0) ho on kept.n_own >= ho.i
+      asof left join (select i + 1 as i, h from mi_harmonic union all select 1, 0) hm on greatest(n.m, 1) >= hm.i)
+    select t.feature, round(greatest(any_value(hn.h) + sum(n_own * own) / sum(n_own) - sum(n_own * class) / sum(n_own)
+           - sum(n_own * near) / sum(n_own), 0), 6) as score
+    from mi_terms t join (select feature, sum(n_own) as n from mi_kept group by 1) s using (feature)
+      join (select i + 1 as i, h from mi_harmonic union all select 1, 0) hn on hn.i = s.n
+    group by 1"""
+
+
+@query("m5_mutual_information", _MUTUAL)
+def _(spark, d):
+    t = scores.mutual_information(classed(spark, d), FEATURES, "building_type", "bag_id")
+    return t.select("feature", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -366,12 +402,22 @@ def _(spark, d):
     return prediction.evaluate(prediction.transfer(path, classed(spark, d)))["report"]
 
 
-@query("io8_result_csv")
+@query(
+    "io8_result_csv",
+    each(
+        FEATURES,
+        """count($) as count, round(avg($), 6) as mean, round(stddev_samp($), 6) as std, cast(min($) as double) as min,
+           cast(max($) as double) as max, quantile_cont(cast($ as double), 0.25) as q25,
+           quantile_cont(cast($ as double), 0.5) as q50, quantile_cont(cast($ as double), 0.75) as q75""",
+        CLASSED,
+    ),
+)
 def _(spark, d):
     path = scratch_dir(spark, "results")
     stats = analysis.describe(classed(spark, d), FEATURES)
     tables.write_csv(stats, path)
-    return spark.read.schema(stats.schema).csv(path, header=True)
+    back = spark.read.schema(stats.schema).csv(path, header=True)
+    return back.withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))
 
 
 @query("io9_model_file")

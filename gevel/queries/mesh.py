@@ -13,8 +13,8 @@ from gevel.sources import cityjson, metrics_csv, tables
 
 
 def objects(spark, d, lod: str | None = None):
-    read = cityjson.tile_objects(cityjson.read_tiles(spark, write_tiles(spark, d)))
-    return read if lod is None else cityjson.at_lod(read, lod)
+    tiles = cityjson.read_tiles(spark, write_tiles(spark, d))
+    return cityjson.tile_objects(tiles, None if lod is None else [lod])
 
 
 @query(

@@ -23,9 +23,11 @@ def joined(values: str) -> F.Column:
 
 
 def metrics_file(spark, d) -> DataFrame:
-    """Stand-in metrics, written to CSV and read back."""
+    """Stand-in metrics, written to a wider CSV in another column order and read back."""
     path = scratch_dir(spark, "metrics")
-    tables.write_csv(S.metrics(spark, d), path)
+    t = S.metrics(spark, d)
+    more = [F.lit("2.2").alias("lod"), *[F.col(c) for c in reversed(t.columns)], F.lit(1.5).alias("unknown")]
+    tables.write_csv(t.select(*more), path)
     return metrics_csv.read_metrics(spark, path)
 
 
@@ -435,9 +437,9 @@ def _(spark, d):
     return S.cityobject(spark, d).select(F.col("gmlid").alias("bag_id"), "name").orderBy("bag_id")
 
 
-@query("s3_first_rows")
+@query("s3_first_rows", "select id, round(actual_volume, 6) as actual_volume from metrics order by id limit 50")
 def _(spark, d):
-    return S.metrics(spark, d).limit(50)
+    return S.metrics(spark, d).orderBy("id").limit(50).select("id", F.round("actual_volume", 6).alias("actual_volume"))
 
 
 @query("u2_distinct", "select distinct status, eindgeldigheid is null as current from pand")

@@ -52,6 +52,12 @@ TILE = T.StructType(
 )
 
 
+# Kinds with faces: of surfaces, of a solid, of several solids.
+SURFACES = ["MultiSurface", "CompositeSurface"]
+SOLIDS = ["MultiSolid", "CompositeSolid"]
+KINDS = ["Solid", *SURFACES, *SOLIDS]
+
+
 def read_tiles(spark: SparkSession, path: str) -> DataFrame:
     """One row per tile file; ``path`` may be a folder or a pattern."""
     return spark.read.schema(TILE).option("multiLine", True).json(path)
@@ -71,13 +77,18 @@ def _faces(geometry: Column, vertices: Column, scale: Column, translate: Column)
         points = F.transform(ring, point)
         return F.concat(points, F.slice(points, 1, 1))
 
-    solid = F.from_json(geometry["boundaries"], "array<array<array<array<int>>>>")
-    surface = F.from_json(geometry["boundaries"], "array<array<array<int>>>")
-    is_solid = geometry["type"] == "Solid"
-    rings = F.when(is_solid, F.flatten(solid)).otherwise(surface)
-    kinds = F.when(
-        is_solid, F.flatten(F.from_json(geometry["semantics"]["values"], "array<array<int>>"))
-    ).otherwise(F.from_json(geometry["semantics"]["values"], "array<int>"))
+    # Each kind nests its faces, and their numbers, one level deeper than the one before.
+    boundaries, values = geometry["boundaries"], geometry["semantics"]["values"]
+    is_solid, is_many = geometry["type"] == "Solid", geometry["type"].isin(SOLIDS)
+    surface = F.from_json(boundaries, "array<array<array<int>>>")
+    solid = F.flatten(F.from_json(boundaries, "array<array<array<array<int>>>>"))
+    many = F.flatten(F.flatten(F.from_json(boundaries, "array<array<array<array<array<int>>>>>")))
+    rings = F.when(is_many, many).when(is_solid, solid).otherwise(surface)
+    kinds = (
+        F.when(is_many, F.flatten(F.flatten(F.from_json(values, "array<array<array<int>>>"))))
+        .when(is_solid, F.flatten(F.from_json(values, "array<array<int>>")))
+        .otherwise(F.from_json(values, "array<int>"))
+    )
     return F.transform(
         rings,
         lambda face, i: F.struct(
@@ -87,13 +98,28 @@ def _faces(geometry: Column, vertices: Column, scale: Column, translate: Column)
     )
 
 
-def tile_objects(tiles: DataFrame) -> DataFrame:
-    """``(object_id, type, parents, lod, geometry_type, faces)``: one row per object geometry.
+def other_geometries(tiles: DataFrame) -> DataFrame:
+    """``(object_id, geometry_type, lod)`` of what :func:`tile_objects` does not read: points, lines, instances."""
+    objects = tiles.select(F.explode("CityObjects").alias("object_id", "o"))
+    shown = objects.select("object_id", F.explode("o.geometry").alias("g"))
+    return shown.select("object_id", F.col("g.type").alias("geometry_type"), "g.lod").filter(
+        F.coalesce(~F.col("geometry_type").isin(KINDS), F.lit(True))
+    )
+
+
+def tile_objects(tiles: DataFrame, lods: list[str] | None = None) -> DataFrame:
+    """``(object_id, type, parents, lod, geometry_type, geometry_no, faces)``: one row per object geometry.
 
     Vertex numbers become coordinates inside the tile row, ahead of the
     explode, so that the vertex list is not repeated for every object.
+    ``lods`` picks levels of detail before that. ``geometry_no`` is the place of the
+    geometry in its object. Kinds without faces are in :func:`other_geometries`.
     """
-    wanted = ["Solid", "MultiSurface", "CompositeSurface"]
+
+    def wanted(g: Column) -> Column:
+        kind = g["type"].isin(KINDS)
+        return kind if lods is None else kind & g["lod"].isin(lods)
+
     scale, translate = F.col("transform.scale"), F.col("transform.translate")
     objects = F.transform(
         F.map_entries("CityObjects"),
@@ -103,13 +129,17 @@ def tile_objects(tiles: DataFrame) -> DataFrame:
             e["value"]["parents"].alias("parents"),
             F.transform(
                 F.filter(
-                    F.coalesce(e["value"]["geometry"], F.array().cast(T.ArrayType(GEOMETRY))),
-                    lambda g: g["type"].isin(wanted),
+                    F.transform(
+                        F.coalesce(e["value"]["geometry"], F.array().cast(T.ArrayType(GEOMETRY))),
+                        lambda g, i: F.struct(g.alias("g"), i.alias("i")),
+                    ),
+                    lambda x: wanted(x["g"]),
                 ),
-                lambda g: F.struct(
-                    g["lod"].alias("lod"),
-                    g["type"].alias("geometry_type"),
-                    _faces(g, F.col("vertices"), scale, translate).alias("faces"),
+                lambda x: F.struct(
+                    x["g"]["lod"].alias("lod"),
+                    x["g"]["type"].alias("geometry_type"),
+                    x["i"].alias("geometry_no"),
+                    _faces(x["g"], F.col("vertices"), scale, translate).alias("faces"),
                 ),
             ).alias("geometries"),
         ),
@@ -122,9 +152,16 @@ def tile_objects(tiles: DataFrame) -> DataFrame:
 
 def merge_tiles(objects: DataFrame) -> DataFrame:
     """One model out of many tiles: an object found in several tiles counts once."""
-    key = ["object_id", "lod", "geometry_type"]
+    key = ["object_id", "lod", "geometry_type", "geometry_no"]
     return objects.dropDuplicates(key)
 
 
+def one_per_object(objects: DataFrame) -> DataFrame:
+    """``(object_id, lod, faces)``: the faces of all geometries of an object and level of detail together."""
+    parts = F.sort_array(F.collect_list(F.struct("geometry_no", "faces")))
+    grouped = objects.groupBy("object_id", "lod").agg(parts.alias("parts"))
+    return grouped.select("object_id", "lod", F.flatten(F.col("parts.faces")).alias("faces"))
+
+
 def at_lod(objects: DataFrame, lod: str) -> DataFrame:
     return objects.filter(F.col("lod") == lod)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gevel.operators.lookup import add_suffix
 
@@ -27,14 +28,16 @@ METRICS = {
 }
 
 
-def read_metrics(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """All rows of a metrics file, the known columns only.
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of a metrics file, the known columns by the names in its header.
 
-    ``schema`` names the columns of the file in order, if it has more than the
-    known ones.
+    Other columns and any order are fine; a known one that is missing is an error.
     """
-    schema = schema or ", ".join(f"`{c}` {t}" for c, t in METRICS.items())
-    return spark.read.schema(schema).csv(path, header=True).select(*METRICS)
+    table = spark.read.csv(path, header=True)
+    missing = [c for c in METRICS if c not in table.columns]
+    if missing:
+        raise KeyError(f"{path} lacks the columns {missing}")
+    return table.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in METRICS.items()])
 
 
 def import_metrics(metrics: DataFrame, lod: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -48,12 +49,20 @@ def publish(df: DataFrame, root: str, key: str | None = None) -> str:
     atomic step and a failed write leaves the current version in place.
     """
     spark = df.sparkSession
-    version = (_versions(spark, root) or [0])[-1] + 1
-    path = f"{root.rstrip('/')}/version={version}"
     if key is not None:
         require_unique(df, key)
-    df.write.mode("overwrite").parquet(path)
-    return path
+    version = (_versions(spark, root) or [0])[-1]
+    while True:
+        version += 1
+        path = f"{root.rstrip('/')}/version={version}"
+        try:
+            df.write.mode("errorifexists").parquet(path)
+        except AnalysisException as error:
+            # Another writer has this number, or left it half done: take the next.
+            if error.getCondition() != "PATH_ALREADY_EXISTS":
+                raise
+        else:
+            return path
 
 
 def read_published(spark: SparkSession, root: str) -> DataFrame:
