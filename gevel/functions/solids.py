@@ -137,7 +137,7 @@ def outline_length(faces: Column, kind: str) -> Column:
             lambda e: F.struct(F.least(e["p"], e["q"]).alias("p"), F.greatest(e["p"], e["q"]).alias("q")),
         )
 
-    edges = F.array_sort(F.flatten(F.transform(all_flat_rings(faces, kind), sides)))
+    edges = F.sort_array(F.flatten(F.transform(all_flat_rings(faces, kind), sides)))
     # The one-element transform sorts once.
     single = F.transform(
         F.array(edges),
@@ -214,16 +214,31 @@ def hull_volume(points: pd.Series) -> pd.Series:
     )
 
 
-def _open_loops(faces) -> int:
-    """Loops of edges that belong to one face only."""
-    uses: dict = {}
-    for f in faces:
-        for ring in f["rings"]:
-            pts = [(round(p["x"], 6), round(p["y"], 6), round(p["z"], 6)) for p in ring]
-            for p, q in zip(pts, pts[1:]):
-                if p != q:
-                    e = (p, q) if p < q else (q, p)
-                    uses[e] = uses.get(e, 0) + 1
+def open_edges(faces: Column) -> Column:
+    """Edges that belong to one face only, ``array<struct<p,q>>``, coordinates rounded to micrometres."""
+
+    def sides(ring: Column) -> Column:
+        n = F.greatest(F.size(ring) - 1, F.lit(0))
+        near = F.transform(ring, lambda p: F.struct(*[F.round(p[a], 6).alias(a) for a in "xyz"]))
+        pairs = F.arrays_zip(F.slice(near, F.lit(1), n).alias("p"), F.slice(near, F.lit(2), n).alias("q"))
+        return F.transform(
+            F.filter(pairs, lambda e: e["p"] != e["q"]),
+            lambda e: F.struct(F.least(e["p"], e["q"]).alias("p"), F.greatest(e["p"], e["q"]).alias("q")),
+        )
+
+    rings = F.flatten(F.transform(faces, lambda f: f["rings"]))
+    # The one-element transform sorts once.
+    return F.transform(
+        F.array(F.sort_array(F.flatten(F.transform(rings, sides)))),
+        lambda all_: F.filter(
+            all_,
+            lambda e, i: ~e.eqNullSafe(F.get(all_, i - 1)) & ~e.eqNullSafe(F.get(all_, i + 1)),
+        ),
+    )[0]
+
+
+def _loops(edges) -> int:
+    """Connected groups of edges."""
     parent: dict = {}
 
     def root(p):
@@ -232,13 +247,21 @@ def _open_loops(faces) -> int:
             p = parent[p]
         return p
 
-    for (p, q), n in uses.items():
-        if n == 1:
-            parent[root(p)] = root(q)
+    for e in edges:
+        p, q = (tuple(e[k][a] for a in "xyz") for k in "pq")
+        parent[root(p)] = root(q)
     return len({root(p) for p in parent})
 
 
 @F.pandas_udf(T.IntegerType())
-def hole_count(faces: pd.Series) -> pd.Series:
-    """Number of holes in the hull of a solid; 0 when it is closed."""
-    return faces.map(lambda fs: None if fs is None else _open_loops(fs))
+def _loop_count(edges: pd.Series) -> pd.Series:
+    return edges.map(lambda es: 0 if es is None else _loops(es))
+
+
+def hole_count(edges: str) -> Column:
+    """Number of holes in the hull of a solid, from a column of its :func:`open_edges`; 0 when it is closed.
+
+    Only the open edges of solids that have any leave the JVM. They must be a column,
+    computed a select before: Spark loses sight of a Python call over such lambdas.
+    """
+    return F.when(F.col(edges).isNotNull(), _loop_count(F.when(F.size(edges) > 0, F.col(edges))))

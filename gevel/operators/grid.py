@@ -117,12 +117,19 @@ def box_pairs(
     return a.repartition(parts, *keys).join(b, keys).filter(overlap & first).drop(*keys, "split")
 
 
+def shape_key(rings: Column) -> Column:
+    """A 128-bit hash to group and join footprints by, so that outlines are no keys; null without rings."""
+    halves = [F.hex(F.xxhash64(rings)), F.hex(F.xxhash64(F.lit("shape"), rings))]
+    return F.when(rings.isNotNull(), F.concat_ws("-", *halves))
+
+
 def distinct_shapes(rows: DataFrame, **flags: Column) -> DataFrame:
-    """One row per distinct footprint: ``shape_id``, box, ``copies`` and counts of flags."""
+    """One row per distinct footprint: ``shape_key``, ``shape_id``, box, ``copies`` and counts of flags."""
     return (
         rows.filter(F.col("rings").isNotNull())
-        .groupBy("rings")
+        .groupBy(shape_key(F.col("rings")).alias("shape_key"))
         .agg(
+            F.first("rings").alias("rings"),
             F.min("bag_id").alias("shape_id"),
             F.count(F.lit(1)).alias("copies"),
             *[F.count_if(cond).alias(name) for name, cond in flags.items()],

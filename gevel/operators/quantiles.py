@@ -7,12 +7,14 @@ what lies below the bracket and keeps the few values inside it.
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ACCURACY = 20_000
+#: Values a bracket may hold before it is narrowed once more.
+FEW = 100_000
 
 
 def unpivot(df: DataFrame, cols: list[str], keep: list[str] | None = None) -> DataFrame:
@@ -30,76 +32,97 @@ def unpivot(df: DataFrame, cols: list[str], keep: list[str] | None = None) -> Da
     )
 
 
+def _first_row(df: DataFrame, columns: list) -> list:
+    return list(df.agg(*[c.alias(f"c{i}") for i, c in enumerate(columns)]).first())
+
+
 def exact_quantiles(
     df: DataFrame, cols: list[str], probs: list[float], accuracy: int = ACCURACY
 ) -> DataFrame:
-    """``(feature, prob, value)`` with linear interpolation between neighbours."""
+    """``(feature, prob, value)`` with linear interpolation between neighbours.
+
+    A sketch brackets each quantile; plain one-row aggregates then count what lies
+    below the bracket and in it, and narrow brackets that hold more than ``FEW``
+    values. Only the values inside the last bracket are ever shuffled.
+    """
     margin = 4.0 / accuracy
-    points = [max(p - margin, 0.0) for p in probs] + [min(p + margin, 1.0) for p in probs]
-    sketch = df.agg(
-        *[
-            F.struct(
-                F.count(c).alias("n"),
-                F.percentile_approx(F.col(c).cast("double"), points, accuracy).alias("q"),
-            ).alias(c)
-            for c in cols
-        ]
-    )
-    per_feature = F.explode(
-        F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`.n"), F.col(f"`{c}`.q")) for c in cols])
+    v = {c: F.col(f"`{c}`").cast("double") for c in cols}
+
+    def sketch(value, p: float):
+        return F.percentile_approx(value, [max(p - margin, 0.0), min(p + margin, 1.0)], accuracy)
+
+    asked = [(c, float(p)) for c in cols for p in probs]
+    found = _first_row(
+        df,
+        [F.count(v[c]) for c in cols]
+        + [F.struct(F.min(v[c]), F.max(v[c])) for c in cols]
+        + [sketch(v[c], p) for c, p in asked],
     )
-    k = len(probs)
-    brackets = (
-        sketch.select(per_feature.alias("s"))
-        .select("s.*")
-        .filter("n > 0")
-        .select(
-            "feature",
-            F.explode(
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(float(p)).alias("prob"),
-                            ((F.col("n") - 1) * p).alias("at"),
-                            F.col("q")[i].alias("lo"),
-                            F.col("q")[i + k].alias("hi"),
-                        )
-                        for i, p in enumerate(probs)
-                    ]
-                )
-            ).alias("b"),
+    size, span = dict(zip(cols, found)), dict(zip(cols, found[len(cols) :]))
+    at = {(c, p): (size[c] - 1) * p for c, p in asked if size[c]}
+    bounds = {k: tuple(q) for k, q in zip(asked, found[2 * len(cols) :]) if k in at}
+    settled: set[tuple[str, float]] = set()
+    below: dict[tuple[str, float], int] = {}
+    open_ = list(bounds)
+    while open_:
+        inside = {k: v[k[0]].between(F.lit(bounds[k][0]), F.lit(bounds[k][1])) for k in open_}
+        row = _first_row(
+            df,
+            [F.count_if(v[k[0]] < F.lit(bounds[k][0])) for k in open_] + [F.count_if(inside[k]) for k in open_],
         )
-        .select("feature", "b.*")
-    )
+        held = dict(zip(open_, row[len(open_) :]))
+        below.update(zip(open_, row))
+        again = []
+        for k in open_:
+            early, late = math.floor(at[k]) < below[k], math.ceil(at[k]) > below[k] + held[k] - 1
+            if early or late:  # the sketch was off: take that side whole, and leave it so
+                low, high = span[k[0]]
+                bounds[k] = (low if early else bounds[k][0], high if late else bounds[k][1])
+                settled.add(k)
+                again.append(k)
+        crowded = [
+            k for k in open_ if k not in settled and held[k] > FEW and bounds[k][0] < bounds[k][1]
+        ]
+        if crowded:
+            parts = [sketch(F.when(inside[k], v[k[0]]), (at[k] - below[k]) / (held[k] - 1)) for k in crowded]
+            for k, q in zip(crowded, _first_row(df, parts)):
+                if tuple(q) != bounds[k]:
+                    bounds[k] = tuple(q)
+                    again.append(k)
+        open_ = again
+    schema = "feature string, prob double, value double"
+    if not bounds:
+        return df.sparkSession.createDataFrame([], schema)
+    held = [
+        F.when(
+            v[c].between(F.lit(bounds[c, p][0]), F.lit(bounds[c, p][1])),
+            F.struct(F.lit(c).alias("feature"), F.lit(p).alias("prob"), v[c].alias("v")),
+        )
+        for c, p in bounds
+    ]
     # One row per column and probability: as many as the caller listed.
-    placed = unpivot(df, cols).join(F.broadcast(brackets), "feature")
-    zone = F.when(F.col("value") < F.col("lo"), -1).when(F.col("value") > F.col("hi"), 1).otherwise(0)
-    keys = ["feature", "prob", "at"]
+    places = df.sparkSession.createDataFrame(
+        [(c, p, float(at[c, p]), int(below[c, p])) for c, p in bounds],
+        "feature string, prob double, at double, below long",
+    )
     steps = (
-        placed.withColumn("zone", zone)
-        .groupBy(*keys, "zone", F.when(zone == 0, F.col("value")).alias("v"))
-        .agg(
-            F.count(F.lit(1)).alias("n"), F.max("value").alias("top"), F.min("value").alias("bottom")
-        )
-        .withColumn("v", F.when(F.col("zone") == 1, F.col("bottom")).otherwise(F.col("top")))
+        df.select(F.explode(F.array_compact(F.array(*held))).alias("x"))
+        .select("x.*")
+        .groupBy("feature", "prob", "v")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .join(F.broadcast(places), ["feature", "prob"])
     )
-    upto = Window.partitionBy(*keys).orderBy("zone", "v").rowsBetween(Window.unboundedPreceding, 0)
-    steps = steps.withColumn("upto", F.sum("n").over(upto))
+    keys = ["feature", "prob", "at"]
+    upto = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    steps = steps.withColumn("upto", F.col("below") + F.sum("n").over(upto))
     low, high = F.floor("at"), F.ceil("at")
-    result = steps.groupBy(*keys).agg(
-        F.min(F.when(F.col("upto") > low, F.col("v"))).alias("v0"),
-        F.min(F.when(F.col("upto") > high, F.col("v"))).alias("v1"),
-        F.max(F.when(F.col("zone") == -1, F.col("n")).otherwise(0)).alias("below"),
-        F.max(F.when(F.col("zone") < 1, F.col("upto")).otherwise(0)).alias("covered"),
-    )
-    missed = (low < F.col("below") - 1) | (high > F.col("covered"))
-    value = F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("at") - low)
-    return result.select(
-        "feature",
-        "prob",
-        F.when(missed, F.raise_error(F.lit("quantile sketch missed its bracket")).cast("double"))
-        .otherwise(value)
-        .alias("value"),
+    return (
+        steps.groupBy(*keys)
+        .agg(
+            F.min(F.when(F.col("upto") > low, F.col("v"))).alias("v0"),
+            F.min(F.when(F.col("upto") > high, F.col("v"))).alias("v1"),
+        )
+        .select("feature", "prob", (F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("at") - low)).alias("value"))
     )
 
 

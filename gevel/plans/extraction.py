@@ -89,10 +89,29 @@ def footprint(table: DataFrame, pand: DataFrame) -> DataFrame:
     )
 
 
+def registry(table: DataFrame, pand: DataFrame) -> DataFrame:
+    """Add ``rings`` and ``bag_construction_year`` of the current registry version, in one pass over it."""
+    source = pand.select(
+        F.col("identificatie").alias("bag_id"),
+        "eindgeldigheid",
+        F.col("oorspronkelijkbouwjaar").alias("bag_construction_year"),
+        "rings",
+    )
+    current = [F.col("eindgeldigheid").isNull(), F.col("eindgeldigheid")]
+    picked = one_per_key(source, ["bag_id"], current).drop("eindgeldigheid")
+    return assign_from(table, picked, "bag_id").withColumn(
+        "bag_construction_year",
+        scalars.sentinel_to_null(F.col("bag_construction_year"), UNKNOWN_YEAR),
+    )
+
+
 def _per_shape(table: DataFrame, shapes: DataFrame, values: DataFrame) -> DataFrame:
     """Bring values per ``shape_id`` back to the rows with that footprint."""
-    keyed = shapes.select("shape_id", "rings", "copies").join(values, "shape_id", "left")
-    return table.join(keyed.drop("shape_id"), "rings", "left")
+    keyed = shapes.select("shape_id", "shape_key", "copies").join(values, "shape_id", "left")
+    # Rows without a footprint get a key of their own, not all the same null.
+    own = F.coalesce(grid.shape_key(F.col("rings")), F.concat(F.lit("none-"), F.col("bag_id")))
+    joined = table.withColumn("shape_key", own).join(keyed.drop("shape_id"), "shape_key", "left")
+    return joined.drop("shape_key")
 
 
 def footprint_shapes(table: DataFrame) -> DataFrame:
@@ -281,14 +300,13 @@ def extract_features(
 ) -> DataFrame:
     """The whole stage: ``table`` holds ``bag_id`` and ``building_type``."""
     t = building_function(table, units)
-    t = footprint(t, pand)
+    t = registry(t, pand)
     # Registry joins end here; everything spatial starts from this table.
     t = materialize(t, "located")
     shapes = footprint_shapes(t)
     t = adjacency(t, [buffer_size], shapes=shapes)
     t = neighbours(t, radii, shapes=shapes)
     t = residential_only(t)
-    t = construction_year(t, pand)
     t = dwellings(t, units)
     t = outline(t)
     t = length_width(t)

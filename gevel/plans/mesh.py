@@ -28,6 +28,7 @@ def solid_metrics(objects: DataFrame) -> DataFrame:
         flat.alias("ground_rings"),
         F.array_distinct(ground).alias("ground_points"),
         roof.alias("roof_points"),
+        solids.open_edges(faces).alias("open"),
     )
     all_ground = F.array(F.flatten("ground_rings"))
     measured = prepared.select(
@@ -43,7 +44,7 @@ def solid_metrics(objects: DataFrame) -> DataFrame:
         solids.highest(F.col("roof_points")).alias("max_Z"),
         solids.lowest(F.col("roof_points")).alias("min_Z"),
         solids.lowest(F.col("ground_points")).alias("ground_Z"),
-        solids.hole_count("faces").alias("hole_count"),
+        solids.hole_count("open").alias("hole_count"),
     )
     short, long = hull.box_sides(F.col("box"))
     return measured.select("*", short.alias("obb_width"), long.alias("obb_length")).drop("box")

@@ -135,7 +135,8 @@ def _(spark, d):
     t = box_solids(spark, d)
     open_top = F.filter("faces", lambda f: f["surface"] != solids.ROOF)
     faces = F.when(F.col("p_size") % 5 == 0, open_top).otherwise(F.col("faces"))
-    return t.select("id", solids.hole_count(faces).cast("bigint").alias("hole_count"))
+    t = t.select("id", solids.open_edges(faces).alias("open"))
+    return t.select("id", solids.hole_count("open").cast("bigint").alias("hole_count"))
 
 
 @query(
