@@ -8,7 +8,7 @@ import twins
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"m6_selection_comparison", "m8_linear_svm", "m12_random_search", "m14_transfer"}
+SLOW = {"m6_selection_comparison"}
 
 
 @pytest.fixture(scope="module")
