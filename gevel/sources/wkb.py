@@ -5,7 +5,9 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,10 +19,8 @@ POLYGON = 3
 HAS_Z, HAS_M, HAS_SRID = 0x80000000, 0x40000000, 0x20000000
 
 
-def read_polygon(data: bytes | None) -> list | None:
-    """Rings of a polygon; heights, measures and the reference system are skipped."""
-    if data is None:
-        return None
+def polygon_rings(data: bytes) -> list[np.ndarray]:
+    """Rings of a polygon as ``(n, 2)`` arrays; heights, measures and the reference system are skipped."""
     end = "<" if data[0] == 1 else ">"
     (kind,) = struct.unpack_from(end + "I", data, 1)
     at = 5
@@ -36,23 +36,45 @@ def read_polygon(data: bytes | None) -> list | None:
     rings = []
     for _ in range(count):
         (n,) = struct.unpack_from(end + "I", data, at)
-        values = struct.unpack_from(f"{end}{n * dims}d", data, at + 4)
+        values = np.frombuffer(data, end + "f8", n * dims, at + 4)
+        rings.append(values.reshape(n, dims)[:, :2].astype("f8"))
         at += 4 + 8 * n * dims
-        rings.append([{"x": values[i], "y": values[i + 1]} for i in range(0, n * dims, dims)])
     return rings
 
 
+def read_polygon(data: bytes | None) -> list | None:
+    """Rings of one polygon as points."""
+    if data is None:
+        return None
+    return [[{"x": x, "y": y} for x, y in ring.tolist()] for ring in polygon_rings(data)]
+
+
+def _ring_column(blobs: list[bytes | None]) -> pa.Array:
+    """Decoded polygons as one nested column, built from offsets and two coordinate arrays."""
+    polygons = [None if b is None else polygon_rings(b) for b in blobs]
+    rings = [r for p in polygons if p for r in p]
+    xy = np.concatenate([np.empty((0, 2)), *rings])
+    points = pa.StructArray.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1])], ["x", "y"])
+    ends = np.cumsum([0, *map(len, rings)])
+    nested = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), points)
+    starts = np.cumsum([0, *(len(p or ()) for p in polygons)]).tolist()
+    # A null start marks a missing polygon.
+    places = [None if p is None else a for p, a in zip(polygons, starts)] + starts[-1:]
+    return pa.ListArray.from_arrays(pa.array(places, pa.int32()), nested)
+
+
 def decode_footprints(df: DataFrame, column: str = "wkb_geometry") -> DataFrame:
     """Replace the binary column by ``rings``."""
     kept = [f for f in df.schema.fields if f.name != column]
     names = [f.name for f in kept]
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch[names].assign(rings=batch[column].map(read_polygon))
+            rings = _ring_column(batch.column(column).to_pylist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), rings], [*names, "rings"])
 
     schema = T.StructType(kept + [T.StructField("rings", RINGS)])
-    return df.mapInPandas(decode, schema)
+    return df.mapInArrow(decode, schema)
 
 
 def write_polygon(rings) -> bytes | None:
