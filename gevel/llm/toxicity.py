@@ -90,8 +90,8 @@ def ftrl(rows: list[tuple[np.ndarray, int]], epochs: int = EPOCHS) -> Model:
     return Model(bucket, w[bucket].astype(np.float32), float(w[-1]))
 
 
-def train_rows(docs: DataFrame, labels: DataFrame, label: str) -> tuple[list[tuple[np.ndarray, int]], float]:
-    """At most about ``ROWS`` labelled rows of each class as feature buckets, in hashed order.
+def train_rows(docs: DataFrame, labels: DataFrame, label: str) -> tuple[DataFrame | None, float]:
+    """At most about ``ROWS`` labelled rows of each class: (h, y, at), ``at`` being their features.
 
     Also the logarithm of how much more of label 1 than of label 0 was taken.
 
@@ -108,10 +108,14 @@ def train_rows(docs: DataFrame, labels: DataFrame, label: str) -> tuple[list[tup
         .agg(F.max("y").alias("y"))
     )
     texts = docs.select(F.col("doc_id").alias("d_id"), text_hash().alias("h"), F.octet_length("text").alias("size"))
-    found = texts.join(known, F.col("d_id") == F.col("l_id")).groupBy("h", "y").agg(F.max("size").alias("size"), F.min("d_id").alias("d_id"))
+    found = (
+        texts.join(known, F.col("d_id") == F.col("l_id"))
+        .groupBy("h", "y")
+        .agg(F.max("size").alias("size"), F.min("d_id").alias("d_id"))
+    )
     have = {r[0]: (r[1], r[2] or 0) for r in found.groupBy("y").agg(F.count(F.lit(1)), F.sum("size")).collect()}
     if len(have) < 2:
-        return [], 0.0
+        return None, 0.0
     share = {y: min(1.0, ROWS[y] / n, TRAIN_BYTES / max(size, 1)) for y, (n, size) in have.items()}
     limit = F.when(F.col("y") == 1, F.lit(share[1])).otherwise(F.lit(share[0]))
     chosen = found.where(fraction("train", F.col("h")) < limit).select("d_id", "h", "y")
@@ -121,7 +125,7 @@ def train_rows(docs: DataFrame, labels: DataFrame, label: str) -> tuple[list[tup
         (docs["doc_id"] == chosen["d_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == chosen["h"]),
     ).select("h", "y", docs["text"])
 
-    def hashed(batches):
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [
                 np.unique(np.concatenate([np.empty(0, np.int64), *features(t)])).astype(np.int32)
@@ -131,27 +135,42 @@ def train_rows(docs: DataFrame, labels: DataFrame, label: str) -> tuple[list[tup
                 [batch.column("h"), batch.column("y"), pa.array(sets, pa.list_(pa.int32()))], ["h", "y", "at"]
             )
 
-    table = map_arrow(full, hashed, "h long, y int, at array<int>").toArrow()
-    order = np.lexsort((table["y"].to_numpy(), table["h"].to_numpy()))
-    buckets, y = table["at"].combine_chunks(), table["y"].to_pylist()
-    out, last = [], None
-    for i in order.tolist():
-        at = buckets[i].values.to_numpy(zero_copy_only=False).astype(np.int64)
-        key = (table["h"][i].as_py(), y[i])
-        if key != last:
-            out.append((at, y[i]))
-        last = key
-    return out, math.log(share[1] / share[0])
+    return map_arrow(full, hashed, "h long, y int, at array<int>"), math.log(share[1] / share[0])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
-    """The model from the rows that are not held out; without both classes, bias only."""
+    """The model from the rows that are not held out; without both classes, bias only.
+
+    One task fits the bounded sample and gives back the weights, so that the driver
+    holds nothing but these.
+    """
     rows, lean = train_rows(docs, labels, label)
-    if not rows:
-        return Model(np.empty(0, np.int64), np.empty(0, np.float32), -1.0)
-    model = ftrl(rows)
-    model.bias -= lean
-    return model
+    none = Model(np.empty(0, np.int64), np.empty(0, np.float32), -1.0)
+    if rows is None:
+        return none
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample, last = [], None
+        for batch in batches:
+            at, y, h = batch.column("at"), batch.column("y").to_pylist(), batch.column("h").to_pylist()
+            for i in range(batch.num_rows):
+                if (h[i], y[i]) != last:  # a repeated row counts once
+                    sample.append((at[i].values.to_numpy(zero_copy_only=False).copy(), y[i]))
+                last = (h[i], y[i])
+        if sample:
+            model = ftrl(sample)
+            columns = [
+                pa.array([model.bucket], pa.list_(pa.int64())),
+                pa.array([model.weight], pa.list_(pa.float32())),
+                pa.array([model.bias], pa.float64()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "weight", "bias"])
+
+    one = rows.repartition(1).sortWithinPartitions("h", "y")
+    found = map_arrow(one, learn, "bucket array<long>, weight array<float>, bias double").first()
+    if found is None:
+        return none
+    return Model(np.array(found["bucket"], np.int64), np.array(found["weight"], np.float32), found["bias"] - lean)
 
 
 def scores(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
