@@ -113,9 +113,12 @@ def _find(parent: list[int], i: int) -> int:
     return i
 
 
-def forest(group: np.ndarray, fp: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join what links join, within runs of equal ``group``: no more than rows."""
-    n, parent, out = len(fp), list(range(len(fp))), []
+def stars(group: np.ndarray, fp: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What links join, within runs of equal ``group``: every such row with the first of its kind.
+
+    No more pairs than rows, and one step deep, so that few rounds are left to join them.
+    """
+    n, parent = len(fp), list(range(len(fp)))
     label, at = np.arange(n), np.arange(n)
     for d in range(1, n):
         at = at[at + d < n]
@@ -128,13 +131,12 @@ def forest(group: np.ndarray, fp: np.ndarray, start: np.ndarray) -> tuple[np.nda
             a, b = _find(parent, i), _find(parent, i + d)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-                out.append((i, i + d))
         if len(hits):
             label = np.array(parent)
             while (jumped := label[label]).tobytes() != label.tobytes():
                 label = jumped
-    pairs = np.array(out, np.int64).reshape(-1, 2)
-    return fp[pairs[:, 0]], fp[pairs[:, 1]]
+    joined = np.flatnonzero(label != np.arange(n))
+    return fp[label[joined]], fp[joined]
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +146,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def links(k, p, q, fp):
         step = np.ones(len(k), bool)
         step[1:] = (k[1:] != k[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])
-        a, b = forest(np.cumsum(step), fp.view(np.uint64), (k % 16) // 2)
+        a, b = stars(np.cumsum(step), fp.view(np.uint64), (k % 16) // 2)
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     for batch in batches:
@@ -165,7 +167,7 @@ def links(nodes: DataFrame) -> DataFrame:
     """(a, b): enough links between different fingerprints to reach all that is reachable.
 
     A crowded key is cut into blocks and every two blocks meet in a task of their
-    own, so no task holds more than two blocks; a task gives back a forest.
+    own, so no task holds more than two blocks; a task gives back stars.
     """
     keys = ring_keys(nodes)
     crowd = keys.groupBy(F.col("k").alias("k2")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")

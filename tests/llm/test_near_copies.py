@@ -100,13 +100,13 @@ def test_pigeonring_loses_no_pair(a, flips):
     assert found
 
 
-def test_forest_joins_what_links_join():
+def test_stars_join_what_links_join():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**64, 30, np.uint64)
     prints = np.unique(np.concatenate([base ^ np.uint64(1 << b) for b in range(20, 29)]))
-    a, b = simhash.forest(np.zeros(len(prints), int), prints, np.zeros(len(prints), int))
-    assert len(a) == len(prints) - 30
-    assert all((int(x) ^ int(y)).bit_count() <= 4 for x, y in zip(a, b))
+    a, b = simhash.stars(np.zeros(len(prints), int), prints, np.zeros(len(prints), int))
+    assert len(a) == len(prints) - 30 and len(set(b.tolist())) == len(b)
+    assert all((int(x) ^ int(y)).bit_count() <= 2 for x, y in zip(a, b))
 
 
 def test_crowded_key_in_blocks(spark, monkeypatch):
