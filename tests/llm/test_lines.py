@@ -11,10 +11,7 @@ from gevel.llm import lines as n
 def plain(rows):
     """Texts without chunks of several lines that stand at an earlier place, by a dict of bytes."""
     known = sorted({(d is None, d or 0, d, t) for d, t in rows}, key=lambda r: (r[0], r[1], str(r[3])))
-    from pyspark.sql import functions as F  # noqa: F401
-
-    hashes = {t: h for t, h in HASHES.items()}
-    known.sort(key=lambda r: (r[0], r[1], hashes[r[3]]))
+    known.sort(key=lambda r: (r[0], r[1], HASHES[r[3]]))
     seen, out = set(), {}
     for _, _, d, t in known:
         left = b""
