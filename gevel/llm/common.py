@@ -46,7 +46,7 @@ def map_arrow(
 ) -> DataFrame:
     """``mapInArrow`` with batches bounded in bytes, so that long texts do not add up."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
     return df.mapInArrow(fn, schema)
 
 
