@@ -41,8 +41,8 @@ def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without repeated multi-line chunks."""
-    return lines.digest(lines.cut_lines(_table(spark, sf_dir, "documents")))
+    """All documents without repeated passages of lines."""
+    return lines.digest(lines.cut_passages(_table(spark, sf_dir, "documents")))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
