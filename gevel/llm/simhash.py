@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gevel.llm import similar
 from gevel.llm.common import LOWER, keep_table, known_id, map_arrow, text_hash, utf8, word_chunks
 from gevel.llm.components import components
 
@@ -205,12 +206,17 @@ def near_copies(docs: DataFrame) -> DataFrame:
     return prints.join(named, prints["fp"] == named["f"]).select("doc_id", "k_hash", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, by_shingles: bool = False) -> DataFrame:
     """``docs`` with one document of each group of near copies: the smallest doc_id.
 
-    Of a group without any doc_id the smallest text hash stays; of repeated rows one.
+    Groups are those of ``near_copies``, ``by_shingles`` joined where texts share four
+    fifths of their five-word shingles. Of a group without any doc_id the smallest text hash stays; of
+    repeated rows one.
     """
-    groups = near_copies(docs)
+    groups, _ = keep_table(near_copies(docs).select("doc_id", "k_hash", "root"), "near-copies")
+    if by_shingles:
+        roots = similar.merged(docs, groups)
+        groups = groups.drop("root").join(roots, F.col("k_hash") == F.col("t")).drop("t")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("k_hash"))
     best = groups.groupBy("root").agg(F.min(order).alias("m"))
     keys = best.select(known_id(F.col("m.doc_id")).alias("__llm_id"), F.col("m.k_hash").alias("__llm_hash"))
