@@ -50,11 +50,23 @@ def map_arrow(
     return df.mapInArrow(fn, schema)
 
 
+#: Whether Spark removes a query's shuffle files as it ends.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def keep_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write to the shared folder and read back; also the path, for ``forget``."""
-    path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    """Write to the shared folder and read back; also the path, for ``forget``.
+
+    Once the table is there nothing reads the shuffles that made it, so they go.
+    """
+    spark = df.sparkSession
+    path, before = scratch_dir(spark, name), spark.conf.get(_TIDY)
+    spark.conf.set(_TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_TIDY, before)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def forget(spark: SparkSession, path: str) -> None:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gevel.llm import decontaminate, lines, mixing, pii, rules, simhash, sites, suffixes, toxicity, urls
+from gevel.llm import clusters, codes, decontaminate, lines, mixing, pii, rules, simhash, sites, subtrees, suffixes, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,21 @@ def op10_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sites.site_scores(docs, labels, F.col("source"), F.col("lang"))
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors."""
+    return codes.digest(codes.compress(_table(spark, sf_dir, "embeddings")))
+
+
+def op12_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without later copies of windows of 20 words."""
+    return subtrees.digest(subtrees.remove_repeats(_table(spark, sf_dir, "documents")))
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all vectors."""
+    return clusters.digest(clusters.cluster(_table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -79,6 +94,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_rules,
         op9_suffixes,
         op10_sites,
+        op11_codes,
+        op12_subtrees,
+        op13_clusters,
     )
 }
-ORACLES: dict[str, str] = {"op2_decontaminate": decontaminate.SQL, "op4_mixing": mixing.SQL}
+ORACLES: dict[str, str] = {
+    "op2_decontaminate": decontaminate.SQL,
+    "op4_mixing": mixing.SQL,
+    "op11_codes": codes.SQL,
+    "op12_subtrees": subtrees.SQL,
+    "op13_clusters": clusters.SQL,
+}
