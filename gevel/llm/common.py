@@ -75,6 +75,17 @@ def forget(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The names, lengthened until ``df`` has no column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def text_hash(text: str = "text") -> Column:
     """64-bit hash of a text, null like the empty one. With doc_id it names a document."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gevel.llm.common import keep_table, map_arrow, same_doc, text_hash, utf8
+from gevel.llm.common import forget, free_names, keep_table, map_arrow, same_doc, text_hash, utf8
 
 #: Lines whose hashes roll into a boundary decision.
 ROLL = 2
@@ -176,12 +176,14 @@ def repeated(docs: DataFrame, pieces=whole_chunks) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = docs.select("doc_id", text_hash().alias("k_hash"), "text")
     hashes = _hashes if pieces is whole_chunks else partial(_hashes, pieces=pieces)
-    hashed, _ = keep_table(map_arrow(rows, hashes, CHUNK).distinct(), "chunks")
+    spark = docs.sparkSession
+    hashed, at_hashed = keep_table(map_arrow(rows, hashes, CHUNK).distinct(), "chunks")
     often = hashed.groupBy(F.col("c1").alias("d1"), F.col("c2").alias("d2")).agg(F.count(F.lit(1)).alias("n"))
     often = often.where("n > 1")
     again, _ = keep_table(
         hashed.join(often, (F.col("c1") == F.col("d1")) & (F.col("c2") == F.col("d2"))).select(*hashed.columns), "again"
     )
+    forget(spark, at_hashed)
     wanted = again.groupBy(F.col("doc_id").alias("k_id"), "k_hash").agg(
         F.collect_list(F.struct("at", "c1", "c2")).alias("wanted")
     )
@@ -206,9 +208,6 @@ def repeated(docs: DataFrame, pieces=whole_chunks) -> DataFrame:
     return later.unionByName(_later(clash.join(firsts, F.col("data") == F.col("d"))))
 
 
-CUT = "__llm_cut"
-
-
 def _without(text: bytes, found: list[tuple[int, int]], gone: list[dict]) -> tuple[bytes, list[tuple[int, int]]]:
     """A text without the pieces that are ``gone``, and the byte ranges cut. What overlaps its own first place leaves that whole."""
     ranges: list[tuple[int, int]] = []
@@ -226,7 +225,7 @@ def _without(text: bytes, found: list[tuple[int, int]], gone: list[dict]) -> tup
     return b"".join([*left, text[at:]]), ranges
 
 
-def _rewritten(text_at: int, drop_at: int, pieces):
+def _rewritten(text_at: int, drop_at: int, pieces, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, cut = utf8(batch.column(text_at)), []
@@ -246,7 +245,7 @@ def _rewritten(text_at: int, drop_at: int, pieces):
             columns[drop_at] = pa.array(
                 cut, pa.struct([(n, pa.int64()) for n in ("n_chunks", "n_removed", "n_lines_removed")])
             )
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:drop_at], CUT])
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
@@ -258,19 +257,21 @@ def cut_lines(docs: DataFrame, pieces=whole_chunks) -> DataFrame:
     struct counts a text's chunks, those that lost a line and the lines lost. Every
     document stays, even with nothing left. Null text stays null, without chunks. Repeated
     rows (same doc_id and text) are one document and get the same result. Null doc_ids
-    order last. Ties in order cannot be: a place is a document and a position. No rows:
-    no rows.
+    order last. Ties in order cannot be: a place is a document and a position. Very long
+    texts are cut like others. Other columns come back as they were, whatever their
+    names. No rows: no rows.
     """
+    (cut,) = free_names(docs, "llm_cut")
     gone = (
         repeated(docs, pieces)
         .groupBy(F.col("doc_id").alias("k_id"), "k_hash")
-        .agg(F.collect_list(F.struct("at", "until")).alias(CUT))
+        .agg(F.collect_list(F.struct("at", "until")).alias(cut))
     )
-    joined = docs.join(gone, same_doc(docs, gone), "left").select(*[docs[c] for c in docs.columns], CUT)
+    joined = docs.join(gone, same_doc(docs, gone), "left").select(*[docs[c] for c in docs.columns], cut)
     counts = T.StructType([T.StructField(n, T.LongType()) for n in ("n_chunks", "n_removed", "n_lines_removed")])
-    schema = T.StructType([*joined.drop(CUT).schema.fields, T.StructField(CUT, counts)])
+    schema = T.StructType([*joined.drop(cut).schema.fields, T.StructField(cut, counts)])
     text_at = [c.lower() for c in docs.columns].index("text")
-    return map_arrow(joined, _rewritten(text_at, len(docs.columns), pieces), schema)
+    return map_arrow(joined, _rewritten(text_at, len(docs.columns), pieces, schema.names), schema)
 
 
 def cut_passages(docs: DataFrame) -> DataFrame:
@@ -282,21 +283,26 @@ def cut_passages(docs: DataFrame) -> DataFrame:
     return cut_lines(docs, passages)
 
 
+def _plain(cut: DataFrame) -> DataFrame:
+    return cut.drop(cut.columns[-1])
+
+
 def drop_repeated(docs: DataFrame) -> DataFrame:
     """``docs`` with the same rows and columns, later copies of multi-line chunks cut out of ``text``."""
-    return cut_lines(docs).drop(CUT)
+    return _plain(cut_lines(docs))
 
 
 def drop_passages(docs: DataFrame) -> DataFrame:
     """``docs`` with the same rows and columns, later copies of passages cut out of ``text``."""
-    return cut_passages(docs).drop(CUT)
+    return _plain(cut_passages(docs))
 
 
 def digest(cut: DataFrame) -> DataFrame:
+    counts = cut.columns[-1]
     return cut.select(
         "doc_id",
-        f"{CUT}.n_chunks",
-        f"{CUT}.n_removed",
-        f"{CUT}.n_lines_removed",
+        f"{counts}.n_chunks",
+        f"{counts}.n_removed",
+        f"{counts}.n_lines_removed",
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
     )

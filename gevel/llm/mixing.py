@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gevel.llm.common import fraction, keep_table
+from gevel.llm.common import fraction, free_names, keep_table
 
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Words of the mix as a share of all words, and of a source's words that its target may reach.
@@ -105,16 +105,16 @@ def rates(docs: DataFrame, seed: str = SEED) -> DataFrame:
 def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The mix itself: rows of ``docs``, each as often as ``rates`` says, with ``copy_no`` from 1.
 
-    A column of that name in ``docs`` is replaced. Texts are read twice and never shuffled.
+    A column of that name in ``docs`` is replaced, others keep their names. Texts are read twice and never shuffled.
     """
     sizes, _ = keep_table(docs.select("source", n_words().alias("size")).groupBy("source").agg(F.sum("size").alias("size")), "sizes")
-    aims = targets(sizes).select(F.col("source").alias("__llm_aim"), "source_size", "target")
     own = [c for c in docs.columns if c.lower() != "copy_no"]
-    aims = aims.select("__llm_aim", F.struct("source_size", "target").alias("__llm_rate"))
-    joined = docs.withColumn("__llm_draw", draw(seed)).join(aims, docs["source"].eqNullSafe(aims["__llm_aim"]))
+    aim, rate, drawn = free_names(docs, "llm_aim", "llm_rate", "llm_draw")
+    aims = targets(sizes).select(F.col("source").alias(aim), F.struct("source_size", "target").alias(rate))
+    joined = docs.withColumn(drawn, draw(seed)).join(aims, docs["source"].eqNullSafe(aims[aim]))
     packed = joined.select(
-        F.struct(*[docs[c] for c in own]).alias("row"), "__llm_rate.source_size", "__llm_rate.target", "__llm_draw"
-    ).withColumn("n", copies("__llm_draw"))
+        F.struct(*[docs[c] for c in own]).alias("row"), f"{rate}.source_size", f"{rate}.target", F.col(drawn).alias("drawn")
+    ).withColumn("n", copies("drawn"))
     taken = packed.where("n > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy_no")).select(
         "row.*", "copy_no"

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gevel.llm import similar
-from gevel.llm.common import LOWER, keep_table, known_id, map_arrow, text_hash, utf8, word_chunks
+from gevel.llm.common import LOWER, forget, free_names, keep_table, known_id, map_arrow, text_hash, utf8, word_chunks
 from gevel.llm.components import components
 
 WORDS = 4
@@ -212,17 +212,23 @@ def keep_one(docs: DataFrame, by_shingles: bool = False) -> DataFrame:
     Groups are those of ``near_copies``, ``by_shingles`` joined where texts share four
     fifths of their five-word shingles. Of a group without any doc_id the smallest text hash stays; of
     repeated rows one.
+
+    Null texts count as empty, and empty texts are copies of each other. Very long texts
+    are read in pieces. Further columns, whatever their names, come back as they were. No
+    rows: no rows.
     """
-    groups, _ = keep_table(near_copies(docs).select("doc_id", "k_hash", "root"), "near-copies")
+    spark = docs.sparkSession
+    groups, path = keep_table(near_copies(docs).select("doc_id", "k_hash", "root"), "near-copies")
     if by_shingles:
         roots = similar.merged(docs, groups)
         groups = groups.drop("root").join(roots, F.col("k_hash") == F.col("t")).drop("t")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("k_hash"))
     best = groups.groupBy("root").agg(F.min(order).alias("m"))
-    keys = best.select(known_id(F.col("m.doc_id")).alias("__llm_id"), F.col("m.k_hash").alias("__llm_hash"))
-    keyed = docs.withColumns({"__llm_id": known_id(F.col("doc_id")), "__llm_hash": text_hash()})
-    own = ["__llm_id", "__llm_hash"]
-    return keyed.join(keys, own, "left_semi").dropDuplicates(own).drop(*own)
+    keys, _ = keep_table(best.select(known_id(F.col("m.doc_id")).alias("i"), F.col("m.k_hash").alias("h")), "kept")
+    forget(spark, path)
+    own = free_names(docs, "llm_id", "llm_hash")
+    keyed = docs.withColumns({own[0]: known_id(F.col("doc_id")), own[1]: text_hash()})
+    return keyed.join(keys.toDF(*own), own, "left_semi").dropDuplicates(own).drop(*own)
 
 
 def digest(groups: DataFrame) -> DataFrame:

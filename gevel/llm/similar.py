@@ -11,15 +11,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gevel.llm.common import LOWER, keep_table, map_arrow, text_hash, utf8, word_chunks
+from gevel.llm.common import LOWER, forget, keep_table, map_arrow, same_doc, text_hash, utf8, word_chunks
 from gevel.llm.components import components
 
-WORDS, LEAST = 5, 0.8
+#: Texts are alike from four fifths of shared shingles on.
+WORDS = 5
 #: Keys of a text and minima in each: a pair at 0.8 shares no key in 1 of 2,900 cases, a pair at 0.9 never in practice.
 BANDS, ROWS = 20, 5
-#: Rounds in which each key's texts meet only its first one, before all that are still apart meet.
-LEAD_ROUNDS = 2
-BLOCK = 2000
+#: Texts and shingles of one key that are compared in one go.
+BLOCK, BLOCK_SHINGLES = 2000, 1 << 20
 _DRAW = np.random.default_rng(5)
 _TIMES = _DRAW.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _DRAW.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
@@ -65,104 +65,102 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("t"), pa.array(sets, pa.binary())], ["t", "shingles"])
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / max(1, len(a) + len(b) - both)
+def alike(sets: list[np.ndarray], roots: np.ndarray) -> list[tuple[int, int]]:
+    """Enough pairs of members to join all that are joined by shared shingles, at most one a member.
+
+    One member at a time is counted against all later ones through the list of who has
+    each shingle; members of one root are joined from the start.
+    """
+    n, sizes = len(sets), np.fromiter(map(len, sets), np.int64, len(sets))
+    label = np.unique(roots, return_inverse=True)[1]
+    left, out = int(label.max()) + 1, []
+    _, name = np.unique(np.concatenate(sets), return_inverse=True)
+    by_name = np.argsort(name, kind="stable")
+    holder, ends = np.repeat(np.arange(n), sizes)[by_name], np.cumsum(np.bincount(name))
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    for i in range(n - 1):
+        if left == 1:
+            break
+        own = name[begin[i] : begin[i + 1]]
+        low = np.where(own > 0, ends[own - 1], 0)
+        count = ends[own] - low
+        at = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+        both = np.bincount(holder[at], minlength=n)[i + 1 :]
+        hits = np.flatnonzero(5 * both >= 4 * (sizes[i] + sizes[i + 1 :] - both)) + i + 1
+        while len(hits := hits[label[hits] != label[i]]):
+            out.append((i, int(hits[0])))
+            label[label == label[hits[0]]] = label[i]
+            left -= 1
+    return out
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        left, right = (batch.column(n).to_pylist() for n in ("left", "right"))
-        held = [
-            similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= LEAST for x, y in zip(left, right)
-        ]
-        yield batch.select(["a", "b"]).filter(pa.array(held, pa.bool_()))
-
-
-def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different roots; rows come sorted by (k, p, q), a group cut by a batch's end waits for the next."""
-    held = [np.empty(0, np.int64)] * 5
-
-    def pairs(k, p, q, t, root):
-        step = np.ones(len(k), bool)
-        step[1:] = (k[1:] != k[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])
-        group, at = np.cumsum(step), np.arange(len(k))
-        for d in range(1, len(k)):
-            at = at[at + d < len(k)]
-            at = at[group[at] == group[at + d]]
-            if not len(at):
-                break
-            hits = at[root[at] != root[at + d]]
-            if len(hits):
-                a, b = t[hits], t[hits + d]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"]
-                )
+    """(a, b) of roots that similar texts join; rows come sorted by (k, p, q), groups cut by a batch's end wait."""
+    held: list[tuple] = []
+    group = None
+
+    def joined():
+        roots = np.array([r for r, _ in held], np.int64)
+        if len(held) < 2 or (roots == roots[0]).all():
+            return
+        pairs = alike([np.frombuffer(s, np.uint64) for _, s in held], roots)
+        if pairs:
+            ends = [roots[[p[side] for p in pairs]] for side in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(*ends)), pa.array(np.maximum(*ends))], ["a", "b"])
 
     for batch in batches:
-        cols = [np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns)]
-        k, p, q = cols[:3]
-        if not len(k):
-            continue
-        last = (k != k[-1]) | (p != p[-1]) | (q != q[-1])
-        cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
-        held = [c[cut:] for c in cols]
-        yield from pairs(*(c[:cut] for c in cols))
-    yield from pairs(*held)
-
-
-def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The (a, b) of ``pairs`` whose texts share at least ``LEAST`` of their shingles; ``texts`` has (t, text)."""
-    pairs, _ = keep_table(pairs.distinct(), "pairs")
-    asked = pairs.select(F.col("a").alias("w")).unionByName(pairs.select(F.col("b").alias("w"))).distinct()
-    wanted = texts.join(asked, F.col("t") == F.col("w"), "left_semi").dropDuplicates(["t"])
-    sets, _ = keep_table(map_arrow(wanted, _sets, "t long, shingles binary"), "shingles")
-    left = sets.select(F.col("t").alias("ta"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("t").alias("tb"), F.col("shingles").alias("right"))
-    full = pairs.join(left, F.col("a") == F.col("ta")).join(right, F.col("b") == F.col("tb"))
-    return map_arrow(full.select("a", "b", "left", "right"), _alike, "a long, b long")
+        for k, p, q, root, shared in zip(*(c.to_pylist() for c in batch.columns)):
+            if (k, p, q) != group:
+                yield from joined()
+                held, group = [], (k, p, q)
+            held.append((root, shared))
+    yield from joined()
 
 
 def merged(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """(t, root): the group of every text hash, groups of ``groups`` (k_hash, root) joined over similar texts.
+    """(t, root): the group of every text hash, groups of ``groups`` (doc_id, k_hash, root) joined over similar texts.
 
-    Texts of one key first meet its smallest group's text, so that a large group becomes
-    one before the rest, all pairs of texts that share a key and are still apart, is
-    compared. A crowded key is dealt in blocks of which every two meet in a task.
+    Only keys whose texts are of several groups are looked at. Their texts' shingle sets
+    are made once, of one document for each text, and meet in the key's task; a crowded
+    key is dealt in blocks of which every two meet in a task of their own. Tasks give
+    back stars of groups, never pairs of texts.
     """
+    spark = docs.sparkSession
     texts = docs.select(text_hash().alias("t"), "text")
-    state = groups.groupBy(F.col("k_hash").alias("t")).agg(F.min("root").alias("root"))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id")
+    state = groups.groupBy(F.col("k_hash").alias("t")).agg(F.min("root").alias("root"), F.min(place).alias("place"))
     state, _ = keep_table(state, "groups")
-    keys, _ = keep_table(map_arrow(texts, _bands, "t long, k long").distinct(), "bands")
-    for turn in range(LEAD_ROUNDS + 1):
-        named = keys.join(state, "t")
-        mixed = named.groupBy(F.col("k").alias("k2")).agg(
-            F.min(F.struct("root", "t")).alias("lead"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")
-        )
-        rows = named.join(mixed.where("lead.root < high"), F.col("k") == F.col("k2"))
-        if turn < LEAD_ROUNDS:
-            lead = F.col("lead.t")
-            pairs = rows.where("root <> lead.root").select(
-                F.least("t", lead).alias("a"), F.greatest("t", lead).alias("b")
-            )
-        else:
-            dealt = (
-                rows.withColumn("parts", F.ceil(F.col("n") / BLOCK))
-                .withColumn("mine", F.pmod(F.xxhash64("t"), F.col("parts")))
-                .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-                .select("k", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "t", "root")
-                .repartition("k", "p", "q")
-                .sortWithinPartitions("k", "p", "q")
-            )
-            pairs = map_arrow(dealt, _apart, "a long, b long")
-        one, two = (state.select(F.col("t").alias(f"t{s}"), F.col("root").alias(f"r{s}")) for s in "ab")
-        links = verified(texts, pairs).join(one, F.col("a") == F.col("ta")).join(two, F.col("b") == F.col("tb"))
-        links, _ = keep_table(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "alike")
-        if links.isEmpty():
-            continue
-        roots = components(links).withColumnRenamed("root", "to")
-        state, _ = keep_table(
-            state.join(roots, F.col("root") == F.col("node"), "left").select("t", F.coalesce("to", "root").alias("root")),
-            "groups",
-        )
-    return state
+    keys, at_keys = keep_table(map_arrow(texts, _bands, "t long, k long").distinct(), "bands")
+    named = keys.join(state, "t")
+    mixed = named.groupBy(F.col("k").alias("k2")).agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    rows, at_rows = keep_table(
+        named.join(mixed.where("low < high"), F.col("k") == F.col("k2")).select("k", "t", "root", "place"), "mixed"
+    )
+    forget(spark, at_keys)
+    asked = rows.select(F.col("t").alias("k_hash"), F.col("place.doc_id").alias("k_id")).distinct()
+    own = docs.select("doc_id", "text")
+    wanted = own.join(asked, same_doc(own, asked)).select(F.col("k_hash").alias("t"), "text")
+    sets, at_sets = keep_table(map_arrow(wanted, _sets, "t long, shingles binary").dropDuplicates(["t"]), "shingles")
+    size = F.octet_length("shingles") / 8
+    sized = rows.join(sets.select("t", size.alias("size")), "t")
+    crowd = sized.groupBy(F.col("k").alias("k2")).agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("parts")
+    )
+    dealt = (
+        rows.join(crowd, F.col("k") == F.col("k2"))
+        .withColumn("mine", F.pmod(F.xxhash64("t"), F.col("parts")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        .select("k", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "t", "root")
+        .join(sets, "t")
+        .select("k", "p", "q", "root", "shingles")
+        .repartition("k", "p", "q")
+        .sortWithinPartitions("k", "p", "q")
+    )
+    links, at_links = keep_table(map_arrow(dealt, _alike, "a long, b long").distinct(), "alike")
+    for path in (at_rows, at_sets):
+        forget(spark, path)
+    roots = components(links).withColumnRenamed("root", "to")
+    joined = state.join(roots, F.col("root") == F.col("node"), "left").select("t", F.coalesce("to", "root").alias("root"))
+    out, _ = keep_table(joined, "groups")
+    forget(spark, at_links)
+    return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-CLASH = "k_hash string, k_id string, fp string, starts string, wanted string, label string, h string, row string"
+CLASH = "llm_id string, LLM_hash string, llm_cut string, llm_rate string, llm_aim string, llm_draw string, k_hash string, k_id string, fp string, starts string, wanted string, label string, h string, row string"
 
 LINE = "the quick brown fox jumps over the lazy dog and runs away from it"
 BLOCK = "".join(f"line {i} of a block of text\n" for i in range(30))

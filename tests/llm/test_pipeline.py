@@ -6,6 +6,8 @@ import cases
 import pytest
 import test_decontaminate
 import test_near_copies
+import test_similar
+import xxhash
 
 import __spark_entry__ as entry
 import corpus_pipeline as p
@@ -30,31 +32,49 @@ def plain(spark, folder):
     rows = [tuple(r) for r in docs.select("doc_id", "text", "source").collect()]
     rows = [r for r in rows if toxicity.score((r[1] or "").encode(), table, model.bias) < 0.5]
 
+    def hashed(text):
+        return int.from_bytes(xxhash.xxh64(text or "", seed=42).digest(), "big", signed=True)
+
     hashes = {r[0]: r[1] for r in docs.select("text", text_hash()).collect()}
     order = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, hashes[r[1]]))
-    seen, cut = set(), {}
-    for d, t, _ in order:
-        b, left = (t or "").encode(), b""
-        for start, end, n in lines.chunks(b):
+    seen, cut = {}, {}
+    for k, (d, t, _) in enumerate(order):
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for start, end in lines.passages(b):
             data = b[start:end].removesuffix(b"\n")
-            if n < lines.FEWEST or data not in seen:
-                left += b[start:end]
-            if n >= lines.FEWEST:
-                seen.add(data)
-        cut[d, t] = left.decode() if t is not None else None
-    rows = [(d, cut[d, t], s) for d, t, s in rows]
-
-    prints = [(d, test_near_copies.plain_print(t)) for d, t, _ in rows]
-    named = {(d, f): c for d, f, c in test_near_copies.groups(prints)}
+            if data in seen:
+                first, until = seen[data]
+                start = max(start, until) if first == k else start
+                gone[start:end] = b"\1" * max(0, end - start)
+            else:
+                seen[data] = k, end
+        cut[d, t] = bytes(x for x, g in zip(b, gone) if not g).decode() if t is not None else None
+    rows = sorted({(d, cut[d, t], s) for d, t, s in rows}, key=lambda r: (r[0] is None, r[0] or 0))
+
+    # near copies: four bits, or four fifths of the five-word shingles; every pair is looked at
+    texts = sorted({t or "" for _, t, _ in rows})
+    prints = [test_near_copies.plain_print(t) for t in texts]
+    shared = [test_similar.plain(t) if t.split() else set() for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for i in range(len(texts)):
+        for j in range(i):
+            near = (prints[i] ^ prints[j]).bit_count() <= 4
+            if near or 5 * len(shared[i] & shared[j]) >= 4 * max(1, len(shared[i] | shared[j])):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    at = {t: i for i, t in enumerate(texts)}
     best = {}
-    for (d, t, s), (_, f) in zip(rows, prints):
-        c = named[d, f"{f:016x}"]
-        group = c if c is not None else ("none", f)
-        if d == c:
-            best[group] = (d, t, s)
-        elif c is None:
-            best.setdefault(group, (d, t, s))
-    rows = list(best.values())
+    for d, t, s in rows:
+        key = (d is None, d or 0, hashed(t))
+        group = find(at[t or ""])
+        if group not in best or key < best[group][0]:
+            best[group] = key, (d, t, s)
+    rows = [row for _, row in best.values()]
 
     items = [tuple(r) for r in spark.read.parquet(f"{folder}/benchmark.parquet").select("item_id", "text").collect()]
     dirty = {(r[0]) for r in test_decontaminate.plain([(i, r[1]) for i, r in enumerate(rows)], items) if r[5]}
@@ -109,4 +129,4 @@ def test_stages_keep_the_columns(spark, tmp_path):
 def test_registered():
     names = entry.queries()
     assert names["pipeline"] is p.run
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()) == list(range(1, 14))
