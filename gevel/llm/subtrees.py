@@ -360,9 +360,11 @@ def repeated_starts(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     found, _ = keep_table(found, "repeats")
     forget(docs.sparkSession, at_members)
     found = found.withColumnsRenamed({"c": "fc", "h": "fh"})
+    # a table, so that Spark can split the places of one context that stands very often
     known = firsts.join(found, (F.col("c") == F.col("fc")) & (F.col("h") == F.col("fh")), "left").select(
         F.col("c").alias("kc"), F.col("h").alias("kh"), "first", F.coalesce("mask", F.lit(0)).alias("mask")
     )
+    known, _ = keep_table(known, "known")
     placed = again.join(known, (F.col("c") == F.col("kc")) & (F.col("h") == F.col("kh")))
     later = order != F.col("first")
     whole = F.array(F.struct(F.col("lo").alias("first"), F.col("hi").alias("last")))

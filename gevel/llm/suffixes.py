@@ -364,4 +364,7 @@ def digest(kept: DataFrame) -> DataFrame:
         removed.alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        (F.size("spans") > 0).alias("changed"),
+        # where a cut falls inside a character, the replacement character stands for its rest
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text"),
     )
