@@ -12,9 +12,10 @@ weight; what a building sees is then the weighted sum over distinct shapes.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gevel.functions import planar
@@ -273,42 +274,111 @@ def shapes_within(shapes: DataFrame, radii: list[float], per_cell: int = CROWDED
     )
 
 
-def nearest_distance(shapes: DataFrame, start: float = 2.0, factor: float = 5.0) -> DataFrame:
+def _levels(extent, finest: float) -> int:
+    side = max(extent["x1"] - extent["x0"], extent["y1"] - extent["y0"], finest)
+    return math.ceil(math.log2(side / finest)) + 1
+
+
+def reach_bounds(points: DataFrame, x0: float, y0: float, finest: float, top: int) -> DataFrame:
+    """``(shape_id, reach)``: a distance within which every point ``(px, py)`` has another one.
+
+    Points are counted in squares of every power of two. Where a square holds two or
+    more, none of them is further from another than the farthest corner of their box.
+    Level ``top`` is one square for all.
+    """
+    size = F.lit(finest) * F.pow(F.lit(2.0), F.col("level"))
+    squares = points.select("shape_id", "px", "py", F.explode(F.sequence(F.lit(0), F.lit(top))).alias("level")).select(
+        "*",
+        F.floor((F.col("px") - x0) / size).alias("cx"),
+        F.floor((F.col("py") - y0) / size).alias("cy"),
+    )
+    shared = squares.groupBy("level", "cx", "cy").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[f(p).alias(f"{name}{a}") for a, p in (("x", "px"), ("y", "py")) for name, f in (("min", F.min), ("max", F.max))],
+    )
+    far = planar.box_far("px", "py", "")
+    return (
+        squares.join(shared.filter("n > 1"), ["level", "cx", "cy"])
+        .groupBy("shape_id")
+        .agg(F.min(far).alias("reach"))
+    )
+
+
+def nearest_distance(shapes: DataFrame, finest: float = 4.0) -> DataFrame:
     """Distance from each shape to the nearest other footprint.
 
-    The search reach grows round by round, and only shapes without a hit stay
-    in; crowded places are settled while the reach is still short. A shape with
-    copies is at distance 0. The last shape standing alone gets null.
+    Boxes go first, without outlines. Counts in squares bound how far each shape's
+    nearest can be; with that reach it meets the boxes around it in squares of about
+    the reach, whatever the density there. The nearest sure point of those boxes bounds
+    it again, and only boxes no further than that are measured by their outlines.
+    A shape with copies is at distance 0. The last shape standing alone gets null.
     """
-    extent = shapes.agg(
-        F.min("minx").alias("x0"),
-        F.min("miny").alias("y0"),
-        F.max("maxx").alias("x1"),
-        F.max("maxy").alias("y1"),
+    corner = F.col("rings")[0][0]
+    boxes = shapes.select("shape_id", "copies", *BOX, corner["x"].alias("px"), corner["y"].alias("py"))
+    boxes = materialize(boxes, "boxes")
+    side = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
+    extent = boxes.agg(
+        F.min("px").alias("x0"),
+        F.min("py").alias("y0"),
+        F.max("px").alias("x1"),
+        F.max("py").alias("y1"),
+        F.avg(side).alias("side"),
     ).first()
-    build = shapes.select("shape_id", planar.edges("rings").alias("edges"), *BOX)
-    found = [
-        shapes.filter("copies > 1").select("shape_id", F.lit(0.0).alias("closest_distance"))
-    ]
-    waiting = shapes.filter("copies = 1").select("shape_id", "rings", *BOX)
+    copied = boxes.filter("copies > 1").select("shape_id", F.lit(0.0).alias("closest_distance"))
     if extent["x0"] is None:
-        return found[0]
-    diagonal = ((extent["x1"] - extent["x0"]) ** 2 + (extent["y1"] - extent["y0"]) ** 2) ** 0.5
-    reach = start
-    while True:
-        pairs = box_pairs(waiting, build, reach).filter("a_shape_id != b_shape_id")
-        gap = planar.polygon_distance(planar.edges_sql("a_rings"), "b_edges")
-        hits = (
-            pairs.select(F.col("a_shape_id").alias("shape_id"), gap.alias("d"))
-            .groupBy("shape_id")
-            .agg(F.min("d").alias("closest_distance"))
-            .filter(F.col("closest_distance") <= reach)
-        )
-        hits = materialize(hits, "nearest")
-        found.append(hits)
-        waiting = materialize(waiting.join(hits, "shape_id", "left_anti"), "waiting")
-        if reach > diagonal or waiting.isEmpty():
-            break
-        reach = reach * factor
-    found.append(waiting.select("shape_id", F.lit(None).cast("double").alias("closest_distance")))
-    return reduce(DataFrame.unionByName, found)
+        return copied
+    finest, x0, y0 = max(finest, extent["side"]), extent["x0"], extent["y0"]
+    top = _levels(extent, finest)
+    single = boxes.filter("copies = 1").select("shape_id", "px", "py", *BOX)
+    reached = single.join(reach_bounds(boxes, x0, y0, finest, top), "shape_id")
+    need = F.greatest(F.col("reach"), F.lit(finest))
+    probe = reached.withColumn("level", F.least(F.ceil(F.log2(need / finest)), F.lit(top)).cast("int"))
+    probe = materialize(probe, "reached")
+    used = [r["level"] for r in probe.select("level").distinct().collect()]  # at most ``top`` + 1
+    if not used:
+        alone = single.select("shape_id", F.lit(None).cast("double").alias("closest_distance"))
+        return copied.unionByName(alone)
+
+    def over(df: DataFrame, p: str, reach: Column) -> DataFrame:
+        size = F.lit(finest) * F.pow(F.lit(2.0), F.col("level"))
+        for axis, start in (("x", x0), ("y", y0)):
+            lo = F.floor((F.col(f"{p}min{axis}") - reach - start) / size)
+            hi = F.floor((F.col(f"{p}max{axis}") + reach - start) / size)
+            df = df.withColumn(f"c{axis}", F.explode(F.sequence(lo, hi)))
+        return df
+
+    a = probe.select("level", *[F.col(c).alias(f"a_{c}") for c in ["shape_id", "reach", "px", "py", *BOX]])
+    b = boxes.select(
+        *[F.col(c).alias(f"b_{c}") for c in ["shape_id", *BOX]], F.explode(F.array(*map(F.lit, used))).alias("level")
+    )
+    met = over(a, "a_", F.col("a_reach")).join(over(b, "b_", F.lit(0.0)), ["level", "cx", "cy"])
+    size = F.lit(finest) * F.pow(F.lit(2.0), F.col("level"))
+    first = reduce(
+        lambda x, y: x & y,
+        [
+            F.floor((F.greatest(F.col(f"a_min{axis}") - F.col("a_reach"), F.col(f"b_min{axis}")) - start) / size)
+            == F.col(f"c{axis}")
+            for axis, start in (("x", x0), ("y", y0))
+        ],
+    )
+    apart = F.hypot(
+        *[
+            F.greatest(F.col(f"a_min{x}") - F.col(f"b_max{x}"), F.lit(0.0), F.col(f"b_min{x}") - F.col(f"a_max{x}"))
+            for x in "xy"
+        ]
+    )
+    pairs = met.filter(first & (F.col("a_shape_id") != F.col("b_shape_id"))).select(
+        F.col("a_shape_id").alias("shape_id"),
+        F.col("b_shape_id").alias("other"),
+        apart.alias("apart"),
+        F.least("a_reach", planar.box_certain("a_px", "a_py", "b_")).alias("sure"),
+    )
+    # the bound of a shape comes of the few boxes within its reach
+    nearest = F.min("sure").over(Window.partitionBy("shape_id"))
+    close = pairs.withColumn("nearest", nearest).filter(F.col("apart") <= F.col("nearest") * (1 + 1e-9))
+    outlines = shapes.select(F.col("shape_id").alias("other"), planar.edges("rings").alias("b_edges"))
+    own = shapes.select("shape_id", planar.edges("rings").alias("a_edges"))
+    measured = close.select("shape_id", "other").join(outlines, "other").join(own, "shape_id")
+    gap = planar.polygon_distance("a_edges", "b_edges")
+    found = measured.select("shape_id", gap.alias("d")).groupBy("shape_id").agg(F.min("d").alias("closest_distance"))
+    return copied.unionByName(found)

@@ -60,6 +60,39 @@ def _(spark, d):
     return merged.groupBy("object_id").agg(F.count(F.lit(1)).alias("solids"))
 
 
+def differing(spark, d):
+    """Tiles and the same tiles a metre higher, under paths that sort behind, read first."""
+    tiles = cityjson.read_tiles(spark, write_tiles(spark, d))
+    moved = F.transform("transform.translate", lambda v, i: v + F.when(i == 2, 1.0).otherwise(0.0))
+    higher = tiles.withColumn("transform", F.struct("transform.scale", moved.alias("translate")))
+    higher = higher.withColumn("tile", F.concat(F.lit("~"), "tile"))
+    return cityjson.tile_objects(higher.unionByName(tiles))
+
+
+@query(
+    "u1_differing_tiles",
+    """select bag_id || '-0' as object_id, lod, cast(6 as bigint) as faces,
+              round((p_size % 3) / 2.0 + height + if(lod = '2.2', (p_size % 4) / 2.0, 0), 6) as top
+       from boxes, (values ('1.2'), ('2.2')) t(lod)""",
+)
+def _(spark, d):
+    merged = cityjson.merge_tiles(differing(spark, d))
+    z = F.transform(solids.points_of(F.col("faces")), lambda p: p["z"])
+    return merged.select(
+        "object_id", "lod", F.size("faces").cast("bigint").alias("faces"), F.round(F.array_max(z), 6).alias("top")
+    )
+
+
+@query(
+    "u1_tile_conflicts",
+    """select bag_id || '-0' as object_id, cast(2 as bigint) as tiles, cast(2 as bigint) as versions,
+              true as kept_first from boxes""",
+)
+def _(spark, d):
+    found = cityjson.tile_conflicts(differing(spark, d))
+    return found.select("object_id", "tiles", "versions", (~F.col("kept_tile").startswith("~")).alias("kept_first"))
+
+
 @query("d1_lod_filter", "select bag_id || '-0' as object_id, '1.2' as lod from boxes")
 def _(spark, d):
     return objects(spark, d, "1.2").select("object_id", "lod")
@@ -70,6 +103,34 @@ SHED = """(select bag_id || '-0' as id, maxx - minx as w, maxy - miny as h, heig
                  (p_size % 4) / 2.0 as r, (p_size % 3) / 2.0 as g from boxes)"""
 
 
+def doubled(spark, d):
+    """Every solid once more as a set of surfaces of the same level of detail, listed first."""
+    own = objects(spark, d, "2.2")
+    again = own.withColumns({"geometry_type": F.lit("MultiSurface"), "geometry_no": F.lit(-1)})
+    return again.unionByName(own)
+
+
+@query(
+    "d2_solid_before_surfaces",
+    f"""select id, round(w * h * (z + r / 2), 6) as actual_volume, round(w * h, 6) as ground_area,
+               round(2 * (w + h), 6) as footprint_perimeter, round(w * sqrt(h * h + r * r), 6) as roof_area,
+               round(w * z + w * (z + r) + h * (2 * z + r), 6) as wall_area, cast(0 as bigint) as hole_count from {SHED}""",
+)
+def _(spark, d):
+    one = cityjson.one_per_object(doubled(spark, d)).select(F.col("object_id").alias("id"), "faces")
+    t = mesh.solid_metrics(one)
+    sizes = ["actual_volume", "ground_area", "footprint_perimeter", "roof_area", "wall_area"]
+    return t.select("id", *[F.round(c, 6).alias(c) for c in sizes], F.col("hole_count").cast("bigint").alias("hole_count"))
+
+
+@query(
+    "d2_set_aside",
+    "select bag_id || '-0' as object_id, '2.2' as lod, 'MultiSurface' as geometry_type, -1 as geometry_no from boxes",
+)
+def _(spark, d):
+    return cityjson.set_aside(doubled(spark, d))
+
+
 @query("d2_actual_volume", f"select id, round(w * h * (z + r / 2), 6) as actual_volume from {SHED}")
 def _(spark, d):
     t = box_solids(spark, d, sloped=True)

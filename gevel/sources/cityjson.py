@@ -56,11 +56,14 @@ TILE = T.StructType(
 SURFACES = ["MultiSurface", "CompositeSurface"]
 SOLIDS = ["MultiSolid", "CompositeSolid"]
 KINDS = ["Solid", *SURFACES, *SOLIDS]
+#: Which kind counts where an object has several at one level of detail: a closed body before a set of faces.
+RANKS = {"Solid": 0, **dict.fromkeys(SOLIDS, 1), **dict.fromkeys(SURFACES, 2)}
 
 
 def read_tiles(spark: SparkSession, path: str) -> DataFrame:
-    """One row per tile file; ``path`` may be a folder or a pattern."""
-    return spark.read.schema(TILE).option("multiLine", True).json(path)
+    """One row per tile file, with its path as ``tile``; ``path`` may be a folder or a pattern."""
+    read = spark.read.schema(TILE).option("multiLine", True).json(path)
+    return read.select("*", F.col("_metadata.file_path").alias("tile"))
 
 
 def _faces(geometry: Column, vertices: Column, scale: Column, translate: Column) -> Column:
@@ -108,7 +111,7 @@ def other_geometries(tiles: DataFrame) -> DataFrame:
 
 
 def tile_objects(tiles: DataFrame, lods: list[str] | None = None) -> DataFrame:
-    """``(object_id, type, parents, lod, geometry_type, geometry_no, faces)``: one row per object geometry.
+    """``(tile, object_id, type, parents, lod, geometry_type, geometry_no, faces)``: one row per object geometry.
 
     Vertex numbers become coordinates inside the tile row, ahead of the
     explode, so that the vertex list is not repeated for every object.
@@ -144,23 +147,71 @@ def tile_objects(tiles: DataFrame, lods: list[str] | None = None) -> DataFrame:
             ).alias("geometries"),
         ),
     )
-    exploded = tiles.select(F.explode(objects).alias("o"))
+    tile = F.col("tile") if "tile" in tiles.columns else F.lit("")
+    exploded = tiles.select(tile.alias("tile"), F.explode(objects).alias("o"))
     return exploded.select(
-        "o.object_id", "o.type", "o.parents", F.explode("o.geometries").alias("g")
-    ).select("object_id", "type", "parents", "g.*")
+        "tile", "o.object_id", "o.type", "o.parents", F.explode("o.geometries").alias("g")
+    ).select("tile", "object_id", "type", "parents", "g.*")
+
+
+GEOMETRY_KEY = ["object_id", "lod", "geometry_type", "geometry_no"]
+
+
+def _content() -> Column:
+    return F.xxhash64("type", "parents", "lod", "geometry_type", "geometry_no", "faces")
 
 
 def merge_tiles(objects: DataFrame) -> DataFrame:
-    """One model out of many tiles: an object found in several tiles counts once."""
-    key = ["object_id", "lod", "geometry_type", "geometry_no"]
-    return objects.dropDuplicates(key)
+    """One model out of many tiles: an object found in several tiles counts once.
+
+    It comes whole from the tile whose path sorts first, so that tiles that differ give
+    the same model in whatever order they are read. Where one path holds an object
+    twice, the smaller hash of its content counts. See :func:`tile_conflicts`.
+    """
+    owner = objects.groupBy("object_id").agg(F.min("tile").alias("tile"))
+    own = objects.join(owner, ["object_id", "tile"], "left_semi")
+    rest = [c for c in objects.columns if c not in GEOMETRY_KEY]
+    picked = own.groupBy(*GEOMETRY_KEY).agg(F.min_by(F.struct(*rest), _content()).alias("o"))
+    return picked.select(*[c if c in GEOMETRY_KEY else f"o.{c}" for c in objects.columns])
+
+
+def tile_conflicts(objects: DataFrame) -> DataFrame:
+    """``(object_id, kept_tile, tiles, versions)`` of objects whose tiles differ about them."""
+    told = objects.select("object_id", "tile", _content().alias("c")).distinct()
+    versions = told.groupBy("object_id", "tile").agg(F.sort_array(F.collect_list("c")).alias("version"))
+    return (
+        versions.groupBy("object_id")
+        .agg(
+            F.min("tile").alias("kept_tile"),
+            F.count(F.lit(1)).alias("tiles"),
+            F.count_distinct("version").alias("versions"),
+        )
+        .filter("versions > 1")
+    )
+
+
+def _rank() -> Column:
+    return F.create_map(*[F.lit(x) for kv in RANKS.items() for x in kv])[F.col("geometry_type")]
 
 
 def one_per_object(objects: DataFrame) -> DataFrame:
-    """``(object_id, lod, faces)``: the faces of all geometries of an object and level of detail together."""
-    parts = F.sort_array(F.collect_list(F.struct("geometry_no", "faces")))
+    """``(object_id, lod, faces)``: what stands for an object at a level of detail.
+
+    Of several kinds of geometry the first by ``RANKS`` counts, so that a body is not
+    measured together with the same faces given once more as surfaces; several
+    geometries of that kind are parts of one object. See :func:`set_aside`.
+    """
+    parts = F.sort_array(F.collect_list(F.struct(_rank().alias("rank"), "geometry_no", "faces")))
     grouped = objects.groupBy("object_id", "lod").agg(parts.alias("parts"))
-    return grouped.select("object_id", "lod", F.flatten(F.col("parts.faces")).alias("faces"))
+    first = F.filter("parts", lambda p: p["rank"] == F.col("parts")[0]["rank"])
+    return grouped.select("object_id", "lod", F.flatten(F.transform(first, lambda p: p["faces"])).alias("faces"))
+
+
+def set_aside(objects: DataFrame) -> DataFrame:
+    """``(object_id, lod, geometry_type, geometry_no)`` of the geometries that ``one_per_object`` leaves out."""
+    ranked = objects.select(*GEOMETRY_KEY, _rank().alias("rank"))
+    best = ranked.groupBy("object_id", "lod").agg(F.min("rank").alias("best"))
+    return ranked.join(best, ["object_id", "lod"]).filter("rank > best").select(*GEOMETRY_KEY)
 
 
 def at_lod(objects: DataFrame, lod: str) -> DataFrame:

@@ -129,3 +129,29 @@ def test_no_nested_loop_in_plan(spark):
     shapes = grid.distinct_shapes(table)
     plan = grid.touching_shapes(shapes, [0.1])._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_nearest_over_all_densities(spark):
+    """A crowd, a town, far outliers, a large hall and copies, against all pairs."""
+    rng = np.random.default_rng(5)
+    spots = [*rng.uniform(0, 15, (40, 2)), *rng.uniform(100, 400, (40, 2)), (5e4, 0), (5e4, 7e4), (-2e5, 3)]
+    rows = [(f"n{i:03d}", None, S.random_polygon(rng, x, y, rng.uniform(0.2, 3))) for i, (x, y) in enumerate(spots)]
+    rows.append(("hall", None, S.box(450, 0, 900, 300)))
+    rows += [("copy1", None, S.box(20, 20, 21, 21)), ("copy2", None, S.box(20, 20, 21, 21))]
+    table = spark.createDataFrame(rows, SCHEMA)
+    got = {r.bag_id: r.closest_distance for r in mesh.closest(table).collect()}
+    for i, _, a in rows:
+        want = min(S.distance(a, b) for j, _, b in rows if j != i)
+        assert got[i] == pytest.approx(want, rel=1e-9, abs=1e-9), i
+
+
+def test_reach_bounds_hold(spark):
+    rng = np.random.default_rng(6)
+    at = np.concatenate([rng.uniform(0, 1, (50, 2)), rng.uniform(0, 1e4, (50, 2))])
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(at)], "shape_id int, px double, py double")
+    top = grid._levels({"x0": 0, "x1": 1e4, "y0": 0, "y1": 1e4}, 0.5)
+    got = {r.shape_id: r.reach for r in grid.reach_bounds(points, 0.0, 0.0, 0.5, top).collect()}
+    far = np.hypot(*(at[:, None] - at[None]).transpose(2, 0, 1)) + np.diag(np.full(len(at), np.inf))
+    nearest = far.min(1)
+    assert len(got) == len(at) and all(got[i] >= nearest[i] - 1e-9 for i in got)
+    assert np.median([got[i] / nearest[i] for i in got]) < 8

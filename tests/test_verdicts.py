@@ -104,6 +104,38 @@ def test_all_kinds_of_geometry(spark, tmp_path):
     assert whole == n
 
 
+def test_a_solid_counts_before_the_same_faces_as_surfaces(spark, tmp_path):
+    """The box of 10 x 10 x 5 given as a solid and as surfaces of one level of detail."""
+    vertices = [[x * 20, y * 20, z * 10] for z in (0, 1) for x, y in ((0, 0), (1, 0), (1, 1), (0, 1))]
+    surfaces = {"type": "MultiSurface", "lod": "2.2", "boundaries": [[ring] for ring in CUBE],
+                "semantics": {"surfaces": [{"type": k} for k in KINDS], "values": VALUES}}
+    objects = {
+        "both": {"type": "Building", "geometry": [surfaces, solid(), {**surfaces, "lod": "1.2"}]},
+        "faces": {"type": "Building", "geometry": [surfaces]},
+    }
+    (tmp_path / "t.json").write_text(json.dumps(tile(objects, vertices)))
+    read = cityjson.tile_objects(cityjson.read_tiles(spark, str(tmp_path)))
+    whole = cityjson.one_per_object(read).filter("lod = '2.2'").select(F.col("object_id").alias("id"), "faces")
+    for r in mesh.solid_metrics(whole).collect():
+        assert (r.actual_volume, r.ground_area, r.roof_area) == pytest.approx((500, 100, 100)), r.id
+        assert (r.wall_area, r.footprint_perimeter, r.hole_count) == pytest.approx((200, 40, 0)), r.id
+    assert [tuple(r) for r in cityjson.set_aside(read).collect()] == [("both", "2.2", "MultiSurface", 0)]
+
+
+def test_tiles_that_differ_give_one_model(spark, tmp_path):
+    """In whatever order, the object comes whole from the tile that sorts first."""
+    one, two = solid(), solid(CUBE[:5], VALUES[:5])
+    (tmp_path / "a.json").write_text(json.dumps(tile({"x": {"type": "Building", "geometry": [one]}}, unit_vertices())))
+    other = {"x": {"type": "Building", "geometry": [two, solid(lod="1.2")]}, "y": {"type": "Building", "geometry": [one]}}
+    (tmp_path / "b.json").write_text(json.dumps(tile(other, unit_vertices())))
+    first, second = (cityjson.tile_objects(cityjson.read_tiles(spark, str(tmp_path / f"{n}.json"))) for n in "ab")
+    for read in (first.unionByName(second), second.unionByName(first), second.unionByName(first).unionByName(second)):
+        got = {(r.object_id, r.lod, len(r.faces)) for r in cityjson.merge_tiles(read).collect()}
+        assert got == {("x", "2.2", 6), ("y", "2.2", 6)}
+        (told,) = cityjson.tile_conflicts(read).collect()
+        assert (told.object_id, told.tiles, told.versions) == ("x", 2, 2) and told.kept_tile.endswith("a.json")
+
+
 def metrics_row(spark):
     return spark.range(1).select(*[F.lit(i).cast(t).alias(c) for i, (c, t) in enumerate(metrics_csv.METRICS.items())])
 
