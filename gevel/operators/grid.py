@@ -184,13 +184,99 @@ def _pair_counts(pairs: DataFrame, radii: list[float], only: list[Column] | None
     return pairs.groupBy(F.col("a_shape_id").alias("shape_id")).agg(*hits)
 
 
+def block_pyramid(members: DataFrame, reach: float) -> DataFrame:
+    """Blocks of crowded cells: ``(level, cx, cy, bx, by, copies, box, is_leaf)``.
+
+    Level 0 is a cell as a whole, and each next one halves its blocks both ways down to
+    the cell's ``depth``, where a block has a handful of shapes. A block's box is that of
+    the shapes whose middle lies in it. Counts of a level come from those of the next.
+    """
+    side = F.pow(F.lit(2.0), F.col("depth"))
+    sums = [F.sum("copies").alias("copies")] + [
+        (F.min if c.startswith("min") else F.max)(c).alias(c) for c in BOX
+    ]
+    finest = members.withColumns(
+        {
+            "bx": _index((F.col("minx") + F.col("maxx")) / 2, reach, side),
+            "by": _index((F.col("miny") + F.col("maxy")) / 2, reach, side),
+        }
+    )
+    leaves = finest.groupBy("cx", "cy", "bx", "by", "depth").agg(*sums)
+    coarser = leaves.withColumn("up", F.explode(F.sequence(F.lit(0), F.col("depth"))))
+    shifted = F.floor(F.col("bx") / F.pow(F.lit(2.0), F.col("up"))), F.floor(F.col("by") / F.pow(F.lit(2.0), F.col("up")))
+    return (
+        coarser.withColumns({"bx": shifted[0], "by": shifted[1], "level": F.col("depth") - F.col("up")})
+        .groupBy("level", "depth", "cx", "cy", "bx", "by")
+        .agg(*sums)
+        .withColumn("is_leaf", F.col("level") == F.col("depth"))
+        .drop("depth")
+    )
+
+
+def block_counts(
+    probe: DataFrame, members: DataFrame, reach: float, radii: list[float]
+) -> tuple[DataFrame, DataFrame]:
+    """Weighted counts of whole blocks within each radius, and the pairs that are left to measure.
+
+    A centre starts at whole cells. A block within a radius counts there as it is, one
+    beyond is dropped, and one that the circle cuts is replaced by its four parts. So a
+    centre meets the blocks along its circles' rims, and shapes of the finest ones only.
+    """
+    blocks = materialize(block_pyramid(members, reach), "blocks")
+    deepest = blocks.agg(F.max("level")).first()[0] or 0  # levels are a handful: log2 of a cell's split
+    place = ["cx", "cy", "bx", "by"]
+    n = range(len(radii))
+    any_cut = reduce(lambda x, y: x | y, [F.col(f"cut_{i}") for i in n])
+
+    def judged(met: DataFrame, open_at) -> DataFrame:
+        """What each radius that is still open makes of a block."""
+        gap, far = planar.box_gap("a_px", "a_py", "b_"), planar.box_far("a_px", "a_py", "b_")
+        met = met.withColumn("gap", gap).withColumn("far", far)
+        cut = {f"cut_{i}": open_at(i) & (F.col("gap") <= r) & (F.col("far") > r) for i, r in enumerate(radii)}
+        full = {f"full_{i}": F.when(open_at(i) & (F.col("far") <= r), F.col("b_copies")).otherwise(0) for i, r in enumerate(radii)}
+        some = reduce(lambda x, y: x | y, [(F.col(f"full_{i}") > 0) for i in n], any_cut)
+        own = ["a_shape_id", "a_px", "a_py", *place, "is_leaf", *cut, *full]
+        return met.withColumns(cut | full).filter(some).select(*own)
+
+    top = blocks.filter("level = 0").select("copies", *BOX, *[F.col(c).alias(f"k_{c}") for c in place], "is_leaf")
+    met = box_pairs(probe, top, reach, reach, None)
+    met = met.select("a_shape_id", "a_px", "a_py", "b_copies", *[f"b_{c}" for c in BOX], F.col("b_is_leaf").alias("is_leaf"),
+                     *[F.col(f"b_k_{c}").alias(c) for c in place])
+    front = materialize(judged(met, lambda i: F.lit(True)), "front")
+    whole, cut_leaves = [], []
+    for level in range(deepest + 1):
+        whole.append(front.groupBy(F.col("a_shape_id").alias("shape_id")).agg(*[F.sum(f"full_{i}").alias(f"within_{i}") for i in n]))
+        cut_leaves.append(front.filter(any_cut & F.col("is_leaf")))
+        if level == deepest:
+            break
+        finer = blocks.filter(F.col("level") == level + 1).select(
+            "cx", "cy", "bx", "by", "is_leaf", *[F.col(c).alias(f"b_{c}") for c in ["copies", *BOX]],
+            F.floor(F.col("bx") / 2).alias("ux"), F.floor(F.col("by") / 2).alias("uy"),
+        )
+        up = front.filter(any_cut & ~F.col("is_leaf")).select(
+            "a_shape_id", "a_px", "a_py", "cx", "cy", F.col("bx").alias("ux"), F.col("by").alias("uy"),
+            *[F.col(f"cut_{i}").alias(f"open_{i}") for i in n],
+        )
+        front = materialize(judged(up.join(finer, ["cx", "cy", "ux", "uy"]), lambda i: F.col(f"open_{i}")), "front")
+    side = F.pow(F.lit(2.0), F.col("depth"))
+    inside = members.select(
+        "cx",
+        "cy",
+        _index((F.col("minx") + F.col("maxx")) / 2, reach, side).alias("bx"),
+        _index((F.col("miny") + F.col("maxy")) / 2, reach, side).alias("by"),
+        *[F.col(c).alias(f"b_{c}") for c in ["shape_id", "copies", "edges", *BOX]],
+    )
+    opened = reduce(DataFrame.unionByName, cut_leaves).select("a_shape_id", "a_px", "a_py", *place, *[f"cut_{i}" for i in n])
+    return reduce(DataFrame.unionByName, whole), opened.join(inside, place)
+
+
 def shapes_within(shapes: DataFrame, radii: list[float], per_cell: int = CROWDED) -> DataFrame:
     """Per shape, how many footprints lie within each radius of its centroid.
 
     Returns ``shape_id, within_0, within_1, ...`` counting copies and the
     building itself where its own outline is that near. Shapes in crowded cells
-    are first counted by whole blocks; only blocks that a circle cuts through
-    are opened into pairs.
+    are counted by whole blocks of every size; only the finest ones that a circle
+    cuts through are opened into pairs.
     """
     reach = float(max(radii))
     located = shapes.select(
@@ -218,50 +304,8 @@ def shapes_within(shapes: DataFrame, radii: list[float], per_cell: int = CROWDED
     splits = bounded(splits)
     build = _home(build, reach)
     sparse = build.join(splits, ["cx", "cy"], "left_anti").drop("cx", "cy")
-    # Blocks of a crowded cell: a finer grid, about eight rows each.
-    members = build.join(splits, ["cx", "cy"]).withColumn(
-        "split", F.least(F.col("split") * 8, F.lit(8 * MAX_SPLIT))
-    )
-    members = members.withColumn(
-        "bx", _index((F.col("minx") + F.col("maxx")) / 2, reach, F.col("split"))
-    ).withColumn("by", _index((F.col("miny") + F.col("maxy")) / 2, reach, F.col("split")))
-    block = ["cx", "cy", "bx", "by"]
-    blocks = members.groupBy(*block).agg(
-        F.sum("copies").alias("copies"),
-        F.min("minx").alias("minx"),
-        F.min("miny").alias("miny"),
-        F.max("maxx").alias("maxx"),
-        F.max("maxy").alias("maxy"),
-    )
-    met = box_pairs(
-        probe, blocks.withColumnsRenamed({c: f"k_{c}" for c in block}), reach, reach, per_cell
-    )
-    met = met.withColumn("gap", planar.box_gap("a_px", "a_py", "b_")).withColumn(
-        "far", planar.box_far("a_px", "a_py", "b_")
-    )
-    whole = met.groupBy(F.col("a_shape_id").alias("shape_id")).agg(
-        *[
-            F.sum(F.when(F.col("far") <= r, F.col("b_copies")).otherwise(0)).alias(f"within_{i}")
-            for i, r in enumerate(radii)
-        ]
-    )
-    cut = [(F.col("gap") <= r) & (F.col("far") > r) for r in radii]
-    opened = (
-        met.filter(reduce(lambda x, y: x | y, cut))
-        .select(
-            "a_shape_id",
-            "a_px",
-            "a_py",
-            *[F.col(f"b_k_{c}").alias(c) for c in block],
-            *[c.alias(f"cut_{i}") for i, c in enumerate(cut)],
-        )
-        .join(
-            members.select(
-                *block, *[F.col(c).alias(f"b_{c}") for c in ["shape_id", "copies", "edges", *BOX]]
-            ),
-            block,
-        )
-    )
+    members = build.join(splits, ["cx", "cy"]).withColumn("depth", F.log2("split").cast("int") + 1)
+    whole, opened = block_counts(probe, members, reach, radii)
     parts = [
         _pair_counts(box_pairs(probe, sparse, reach, reach, None), radii),
         whole,

@@ -155,3 +155,49 @@ def test_reach_bounds_hold(spark):
     nearest = far.min(1)
     assert len(got) == len(at) and all(got[i] >= nearest[i] - 1e-9 for i in got)
     assert np.median([got[i] / nearest[i] for i in got]) < 8
+
+
+def crowd(spark, n):
+    """``n`` squares of 10 cm all over one cell of 100 m."""
+    rng = np.random.default_rng(n)
+    rows = [(f"c{i:05d}", None, S.box(x, y, x + 0.1, y + 0.1)) for i, (x, y) in enumerate(rng.uniform(0.1, 99.8, (n, 2)))]
+    return spark.createDataFrame(rows, SCHEMA), np.array([(r[2][0][0]["x"] + 0.05, r[2][0][0]["y"] + 0.05) for r in rows])
+
+
+def test_rows_of_a_crowded_cell_grow_with_the_rim(spark):
+    """Four times the shapes: about twice the blocks and shapes met by a centre, not four times."""
+    radii, met = [10.0, 40.0], []
+    for n in (512, 2048, 8192):
+        table, at = crowd(spark, n)
+        shapes = grid.distinct_shapes(table).select("*", F.lit(0).cast("long").alias("cx"), F.lit(0).cast("long").alias("cy"))
+        depth = int(np.log2(np.sqrt(n / 8)))
+        members = shapes.select("shape_id", "copies", *grid.BOX, grid.planar.edges("rings").alias("edges"), "cx", "cy", F.lit(depth).alias("depth"))
+        x, y = F.col("minx") + 0.05, F.col("miny") + 0.05
+        probe = shapes.orderBy("shape_id").limit(100).select(
+            "shape_id", x.alias("px"), y.alias("py"), x.alias("minx"), y.alias("miny"), x.alias("maxx"), y.alias("maxy")
+        )
+        whole, opened = grid.block_counts(probe, members, 100.0, radii)
+        met.append(opened.count() / 100)
+        # all that is surely within came whole, and nothing twice
+        sums = {r.shape_id: (r[1], r[2]) for r in whole.groupBy("shape_id").agg(F.sum("within_0"), F.sum("within_1")).collect()}
+        pairs = opened.groupBy("a_shape_id").agg(F.count_if("cut_0").alias("a"), F.count_if("cut_1").alias("b")).collect()
+        for r in pairs:
+            centre = at[int(r.a_shape_id[1:])]
+            far = np.hypot(*(at - centre).T)
+            for k, radius, cut in ((0, 10, r.a), (1, 40, r.b)):
+                inside = sums.get(r.a_shape_id, (0, 0))[k]
+                assert inside <= (far <= radius + 0.1).sum() <= inside + cut + 1
+    assert met[1] < 2.8 * met[0] and met[2] < 2.8 * met[1]
+    assert met[2] < 8192 / 8
+
+
+def test_crowded_neighbours_against_all_pairs(spark, monkeypatch):
+    table, at = crowd(spark, 600)
+    monkeypatch.setattr(grid.shapes_within, "__defaults__", (32,))
+    out = extraction.neighbours(table, [5, 20, 100], shapes=extraction.footprint_shapes(table)).collect()
+    low, high = at - 0.05, at + 0.05
+    for r in out:
+        p = at[int(r.bag_id[1:])]
+        far = np.hypot(*np.maximum(0, np.maximum(low - p, p - high)).T)
+        want = [int((far <= x).sum()) - 1 for x in (5, 20, 100)]
+        assert [r.no_neighbours_5m, r.no_neighbours_20m, r.no_neighbours_100m] == want
