@@ -7,13 +7,14 @@ import uuid
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LinearSVC, OneVsRest, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, VectorAssembler
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gevel.operators import metrics
 from gevel.operators.ranking import rank_by_hash
 from gevel.operators.scaling import robust_scaler, scaled_names
 from gevel.operators.splitting import balanced_weight, by_class, class_counts
+from gevel.sources.tables import exists
 
 KEY, LABEL = "bag_id", "building_type"
 
@@ -173,24 +174,19 @@ def prediction_rows(predictions: DataFrame) -> DataFrame:
     )
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath)
-
-
 def fit_or_load(train: DataFrame, algorithm: str, path: str, params: dict | None = None) -> PipelineModel:
     """The model saved at ``path``; fitted and saved there first if there is none.
 
     A model is saved beside its place and then renamed, so that what is there is whole.
     """
-    if not _exists(train.sparkSession, path):
+    if not exists(train.sparkSession, path):
         beside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
         fit_classifier(train, algorithm, params).write().save(beside)
         jvm = train.sparkSession.sparkContext._jvm
         source, target = jvm.org.apache.hadoop.fs.Path(beside), jvm.org.apache.hadoop.fs.Path(path)
         fs = target.getFileSystem(train.sparkSession.sparkContext._jsc.hadoopConfiguration())
         # A second writer may have been faster; its model then counts.
-        if _exists(train.sparkSession, path) or not fs.rename(source, target):
+        if exists(train.sparkSession, path) or not fs.rename(source, target):
             fs.delete(source, True)
     return PipelineModel.load(path)
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gevel.operators import metrics, quantiles, scaling, scores, splitting
-from gevel.plans import analysis, extraction, prediction, selection, tuning
+from gevel.plans import analysis, extraction, prediction, runs, selection, tuning
+from gevel.queries import stages
 from gevel.queries import standins as S
 from gevel.queries.registry import query
 from gevel.session import materialize, scratch_dir
@@ -372,8 +373,70 @@ def _(spark, d):
 @query("m10_accuracy_gap")
 def _(spark, d):
     train, test = halves(spark, d)
+    parts = []
+    for algorithm, params in (("rf", FOREST), ("svc", MACHINE)):
+        model = prediction.fit_classifier(train, algorithm, params)
+        gap = selection.accuracy_gap(model, train, test)
+        parts.append(gap.select(F.lit(algorithm).alias("algorithm"), "split", "accuracy"))
+    return parts[0].unionByName(parts[1])
+
+
+_TEST = """(select c.bag_id, building_type as label, r <= q + case when place <= total - base then 1 else 0 end as is_test
+       from (select bag_id, building_type, row_number() over (partition by building_type order by md5('0|' || bag_id), bag_id) as r
+             from classed) c
+       join (select *, row_number() over (order by round(0.2 * n - q, 9) desc, building_type) as place,
+                    sum(q) over () as base, ceil(round(0.2 * sum(n) over (), 9)) as total
+             from (select building_type, count(*) as n, floor(round(0.2 * count(*), 9)) as q from classed group by 1)) k
+       using (building_type))"""
+
+
+@query(
+    "m8_predicted_rows",
+    f"""select algorithm, bag_id, label, true as known from {_TEST}, (values ('rf'), ('svc')) t(algorithm) where is_test""",
+)
+def _(spark, d):
+    # Every test row once, with its own label, and a prediction among the labels there are.
+    train, test = halves(spark, d)
+    known = [r[0] for r in train.select("building_type").distinct().collect()]
+    parts = []
+    for algorithm, params in (("rf", FOREST), ("svc", MACHINE)):
+        rows = prediction.predict(prediction.fit_classifier(train, algorithm, params), test)
+        parts.append(
+            rows.select(F.lit(algorithm).alias("algorithm"), "bag_id", "label", F.col("prediction").isin(known).alias("known"))
+        )
+    return parts[0].unionByName(parts[1])
+
+
+@query(
+    "m7_importance_checks",
+    "select name, cast(i as int) as feature, true as is_share, 1.0::double as total from (values "
+    + ", ".join(f"({i}, '{c}')" for i, c in enumerate(FEATURES))
+    + ") t(i, name)",
+)
+def _(spark, d):
+    # Shares of one, a row for each feature in the order of the model's vector.
+    train, _ = halves(spark, d)
     model = prediction.fit_classifier(train, "rf", FOREST)
-    return selection.accuracy_gap(model, train, test)
+    found = selection.impurity_importance(model, FEATURES, spark)
+    total = found.agg(F.round(F.sum("score"), 9).alias("total"))
+    share = (F.col("score") >= 0) & (F.col("score") <= 1)
+    return found.crossJoin(total).select("name", "feature", share.alias("is_share"), "total")
+
+
+@query(
+    "m9_permutation_checks",
+    "select name, cast(5 as bigint) as repeats, true as in_range from (values "
+    + ", ".join(f"('{c}')" for c in FEATURES)
+    + ") t(name)",
+)
+def _(spark, d):
+    # Five repeats of each feature; no drop is larger than the accuracy on the rows as they are.
+    train, test = halves(spark, d)
+    model = prediction.fit_classifier(train, "rf", FOREST)
+    base = metrics.accuracy(prediction.predict(model, test))
+    drops = selection.permutation_importance(model, test, FEATURES, repeats=5)
+    fits = F.every((F.col("drop") <= F.col("accuracy") + 1e-9) & (F.col("drop") >= F.col("accuracy") - 1 - 1e-9))
+    return drops.crossJoin(base).groupBy("name").agg(F.count(F.lit(1)).alias("repeats"), fits.alias("in_range"))
 
 
 @query("m11_validation_curve")
@@ -425,6 +488,67 @@ def _(spark, d):
     return back.withColumn("mean", F.round("mean", 6)).withColumn("std", F.round("std", 6))
 
 
+@query("io8_score_csv", " union all ".join(_anova_sql(c) for c in FEATURES))
+def _(spark, d):
+    path = scratch_dir(spark, "scores")
+    found = scores.anova_f(classed(spark, d), FEATURES, "building_type")
+    tables.write_csv(found, path)
+    back = spark.read.schema(found.schema).csv(path, header=True)
+    return back.select("feature", F.round("score", 4).alias("score"))
+
+
+@query(
+    "io8_prediction_csv",
+    """select row_number() over (order by md5('rows|' || bag_id), bag_id) - 1 as row, prediction, label as correct_class,
+              prediction = label as correct_prediction from guessed""",
+)
+def _(spark, d):
+    path = scratch_dir(spark, "predictions")
+    tables.write_csv(prediction.prediction_rows(guessed(spark, d)), path)
+    return spark.read.schema(runs.PREDICTIONS).csv(path, header=True)
+
+
+def areas(spark, d) -> dict[str, DataFrame]:
+    """The study buildings as two areas, by the last digit of their id, written once."""
+    t = materialize(stages.all_features(spark, d), "areas")
+    odd = F.substring("bag_id", -1, 1).cast("int") % 2
+    return {"area1": t.filter(odd == 0), "area2": t.filter(odd == 1)}
+
+
+def _area_sql(area: str, other: str, digit: int) -> str:
+    """Rows that each selection of an area is tried on: a fifth of its own, and all of the other area."""
+    parts = []
+    for name in ("anova", "mutual_info", "impurity", "permutation"):
+        needs = "bag_no_dwellings is not null" if "bag_no_dwellings" in prediction.PRESETS[(area, name)] else "true"
+        own, far = (f"count(*) filter (where odd = {x} and {needs})" for x in (digit, 1 - digit))
+        parts += [
+            f"select '{name}' as selection, 'test' as target, cast(ceil(round(0.2 * {own}, 9)) as bigint) as rows from area_rows",
+            f"select '{name}', '{other}', {far} from area_rows",
+        ]
+    union = " union all ".join(parts)
+    return f"""with area_rows as (select building_type, bag_no_dwellings, cast(right(bag_id, 1) as int) % 2 as odd
+            from ({stages.FEATURES_SQL}) where building_type is not null)
+        select *, true as confusion_agrees, true as support_agrees, true as in_range from ({union})"""
+
+
+def _area(spark, d, area):
+    # All four selections, on the area's own test rows and on the other area; results as their files say.
+    done = runs.run_area(area, areas(spark, d), scratch_dir(spark, "runs"), params=FOREST)
+    t = runs.summary(spark, done)
+    inside = [F.col(c).between(0, 1) for c in ("accuracy", "balanced_accuracy")]
+    return t.select("selection", "target", "rows", "confusion_agrees", "support_agrees", (inside[0] & inside[1]).alias("in_range"))
+
+
+@query("m14_area1_runs", _area_sql("area1", "area2", 0))
+def _(spark, d):
+    return _area(spark, d, "area1")
+
+
+@query("m14_area2_runs", _area_sql("area2", "area1", 1))
+def _(spark, d):
+    return _area(spark, d, "area2")
+
+
 @query("io9_model_file")
 def _(spark, d):
     train, test = halves(spark, d)

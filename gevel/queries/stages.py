@@ -540,9 +540,21 @@ def _(spark, d):
     return lookup.require_unique(groundtruth.study_buildings(S.cityobject(spark, d)), "bag_id")
 
 
-@query(
-    "features_all",
-    """select a.gmlid as bag_id, l.strval as building_type, n as no_adjacent_bldg, nn as no_adjacent_of_adja_bldg,
+def all_features(spark, d):
+    """The whole feature table of the study buildings."""
+    objects, m = S.cityobject(spark, d), S.metrics(spark, d)
+    return extraction.extract_features(
+        groundtruth.attribute_labels(objects, S.attributes(spark, d)),
+        S.units(spark, d),
+        S.pand(spark, d),
+        import_metrics(m, "lod1"),
+        import_metrics(m, "lod2"),
+        objects,
+        S.building(spark, d),
+    )
+
+
+FEATURES_SQL = """select a.gmlid as bag_id, l.strval as building_type, n as no_adjacent_bldg, nn as no_adjacent_of_adja_bldg,
               n25 as no_neighbours_25m, n100 as no_neighbours_100m, bag_construction_year, bag_no_dwellings,
               round((c.maxx - c.minx) * (c.maxy - c.miny), 6) as fp_area,
               cast(storeys_above_ground as bigint) as no_storeys,
@@ -555,19 +567,12 @@ def _(spark, d):
        join building u on u.id = a.id
        left join dwellings w on w.pandid = a.gmlid
        where a.objectclass_id = 26 and a.name is not null and hole_count = 0 and wall_area is not null
-         and bag_construction_year is not null and f.bag_function in ('Residential', 'Mixed-residential')""",
-)
+         and bag_construction_year is not null and f.bag_function in ('Residential', 'Mixed-residential')"""
+
+
+@query("features_all", FEATURES_SQL)
 def _(spark, d):
-    objects, m = S.cityobject(spark, d), S.metrics(spark, d)
-    t = extraction.extract_features(
-        groundtruth.attribute_labels(objects, S.attributes(spark, d)),
-        S.units(spark, d),
-        S.pand(spark, d),
-        import_metrics(m, "lod1"),
-        import_metrics(m, "lod2"),
-        objects,
-        S.building(spark, d),
-    )
+    t = all_features(spark, d)
     return t.select(
         "bag_id",
         "building_type",
