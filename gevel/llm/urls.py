@@ -19,8 +19,10 @@ RULES = (
 )
 #: Rules become one expression; a longer list belongs in a table of its own.
 MOST_RULES = 500
-#: Share of links followed, and the change of all scores together below which rounds end.
-DAMPING, CHANGE, ROUNDS = 0.85, 1e-6, 60
+#: Share of links followed.
+DAMPING = 0.85
+#: What all scores may still be off by when the rounds end at the latest; scores sum up to one, so doubles hold no less.
+FINEST = 1e-15
 #: Share of a host's pages that an allow or block rule must cover to make it a seed.
 SEED_SHARE = 0.5
 
@@ -45,6 +47,11 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_after(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def node_of(host: Column) -> Column:
+    """The name a host has among links: without user and port."""
+    return F.regexp_replace(host, r"^[^@]*@|:\d*$", "")
+
+
 def ruled(rules: Sequence[tuple[str, str, str]], host: Column, path: Column, what) -> Column:
     """``what(rule)`` of the longest rule that fits host and path, else null."""
     if len(rules) > MOST_RULES:
@@ -57,10 +64,10 @@ def ruled(rules: Sequence[tuple[str, str, str]], host: Column, path: Column, wha
 
 
 def host_links(pages: DataFrame) -> DataFrame:
-    """(a, b, n): links from pages of host a to another host b."""
+    """(a, b, n): links from pages of host a to another host b, hosts without user and port."""
     targets = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(_LINK), F.lit(1))
-    found = pages.select(host_of(F.col("url")).alias("a"), F.explode(targets).alias("target"))
-    name = F.translate(F.regexp_replace("target", r"^[^@]*@|:\d*$", ""), _UPPER, _LOWER)
+    found = pages.select(node_of(host_of(F.col("url"))).alias("a"), F.explode(targets).alias("target"))
+    name = F.translate(node_of(F.col("target")), _UPPER, _LOWER)
     return (
         found.select("a", name.alias("b"))
         .where("a <> '' and b <> '' and a <> b")
@@ -75,6 +82,11 @@ def spread_trust(hosts: DataFrame, links: DataFrame) -> DataFrame:
     Trust follows links from good seeds; distrust goes against them, from bad seeds to
     those who link there. Both are personalised PageRank; what reaches a host without
     links on returns to the seeds. Each round is written, the one before removed.
+
+    What a round moves, times 0.85 / 0.15, bounds what all later ones can. Rounds end
+    when no further host was reached and no host's trust and distrust are so near to
+    each other that the rest could turn them, or at ``FINEST``, after some 240 rounds,
+    where only hosts are left whose scores are equal as far as doubles tell.
     """
     spark = hosts.sparkSession
     ends = links.select(F.col("a").alias("host")).unionByName(links.select(F.col("b").alias("host"))).distinct()
@@ -92,11 +104,17 @@ def spread_trust(hosts: DataFrame, links: DataFrame) -> DataFrame:
 
     seeds = nodes.select("*", seed("good", good).alias("t0"), seed("bad", bad).alias("b0"))
     state, path = keep_table(seeds.withColumns({"trust": F.col("t0"), "distrust": F.col("b0")}), "trust")
-    for _ in range(ROUNDS):
-        lost = state.agg(
-            F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("trust"))), F.lit(0.0)),
-            F.coalesce(F.sum(F.when(F.col("back").isNull(), F.col("distrust"))), F.lit(0.0)),
+    some = (F.col("trust") > 0) | (F.col("distrust") > 0)
+
+    def told(state: DataFrame, moved: Column):
+        """What all scores moved together, hosts reached, and what has no link to go on by, forwards and back."""
+        lost = [F.sum(F.when(F.col(x).isNull(), F.col(s))) for x, s in (("out", "trust"), ("back", "distrust"))]
+        return state.agg(
+            F.coalesce(F.sum(moved), F.lit(0.0)), F.count_if(some), *[F.coalesce(x, F.lit(0.0)) for x in lost]
         ).first()
+
+    _, reached, *lost = told(state, F.lit(0.0))
+    while True:
         zero = F.lit(0.0)
         on = state.join(links, F.col("host") == F.col("a")).select(
             F.col("b").alias("to"), (F.col("trust") * F.col("n") / F.col("out")).alias("t"), zero.alias("d")
@@ -115,8 +133,12 @@ def spread_trust(hosts: DataFrame, links: DataFrame) -> DataFrame:
         )
         forget(spark, path)
         path = newer
-        if (state.agg(F.sum("moved")).first()[0] or 0.0) < CHANGE:
+        change, n, *lost = told(state, F.col("moved"))
+        rest = change * DAMPING / (1 - DAMPING)
+        near = some & (F.abs(F.col("trust") - F.col("distrust")) <= rest)
+        if rest <= FINEST or (n == reached and state.where(near).isEmpty()):
             break
+        reached = n
     return state.select("host", "trust", "distrust")
 
 
@@ -129,7 +151,9 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> Da
 
     Null url or one without ``://``: empty host and path, no rule, allowed. A host that
     neither kind of seed reaches is allowed. Null html: no links. Repeated rows are kept
-    and count twice. Of equally long rules the last by name wins. No rows: no rows.
+    and count twice. Of equally long rules the last by name wins. Hosts that differ in
+    user or port alone are one among links, and share its scores. Very long urls and texts
+    are read whole; other columns are ignored. No rows: no rows.
     """
     host, path = F.col("host"), F.col("path")
     plain = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
@@ -139,16 +163,17 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> Da
             "by_rule": ruled(rules, host, path, lambda r: r[2]),
         }
     )
-    rows, _ = keep_table(rows, "pages")
+    rows, _ = keep_table(rows.withColumn("node", node_of(host)), "pages")
 
     def share(verdict: str) -> Column:
         part = F.count(F.when(F.col("by_rule") == verdict, 1)) / F.count(F.lit(1))
         return F.when(part >= SEED_SHARE, part).otherwise(F.lit(0.0))
 
-    hosts = rows.where("host <> ''").groupBy("host").agg(share("allow").alias("good"), share("block").alias("bad"))
+    nodes = rows.where("node <> ''").groupBy(F.col("node").alias("host"))
+    hosts = nodes.agg(share("allow").alias("good"), share("block").alias("bad"))
     scores = spread_trust(hosts, host_links(pages)).withColumnRenamed("host", "h")
     verdict = F.when(F.col("distrust") > F.col("trust"), F.lit("block")).otherwise(F.lit("allow"))
-    return rows.join(scores, F.col("host") == F.col("h"), "left").select(
+    return rows.join(scores, F.col("node") == F.col("h"), "left").select(
         "page_id", "host", "path", "rule", F.coalesce("by_rule", verdict).alias("verdict"), "trust", "distrust"
     )
 

@@ -28,14 +28,16 @@ def rule(host, path):
 def plain(pages):
     """Rules, then dense power iteration over the hosts."""
     rows = [(i, *parts(x), h) for i, x, h in pages]
-    hosts = sorted({r[1] for r in rows if r[1]})
+    node = lambda host: re.sub(r"^[^@]*@|:\d*$", "", host)
+    hosts = sorted({node(r[1]) for r in rows if node(r[1])})
     seed = {}
     for h in hosts:
-        verdicts = [(rule(r[1], r[2]) or (None, None))[1] for r in rows if r[1] == h]
+        verdicts = [(rule(r[1], r[2]) or (None, None))[1] for r in rows if node(r[1]) == h]
         part = [verdicts.count(v) / len(verdicts) for v in ("allow", "block")]
         seed[h] = [x if x >= 0.5 else 0.0 for x in part]
     links = {}
     for _, host, _, html in rows:
+        host = node(host)
         for m in re.findall(u._LINK[4:], html or "", re.I):
             to = re.sub(r"^[^@]*@|:\d*$", "", m).lower()
             if host and to and to != host:
@@ -59,7 +61,7 @@ def plain(pages):
     out = []
     for i, host, path, _ in rows:
         r = rule(host, path)
-        verdict = "block" if score[1].get(host, 0) > score[0].get(host, 0) + 1e-9 else "allow"
+        verdict = "block" if score[1].get(node(host), 0) > score[0].get(node(host), 0) + 1e-12 else "allow"
         out.append((i, host, path, r[0] if r else None, r[1] if r else verdict))
     return sorted(out, key=str)
 
@@ -86,6 +88,8 @@ PAGES = [
     (14, "http://net/es/", '<a href="http://bad.net/fr/">x</a>'),
     (14, "http://net/es/", '<a href="http://bad.net/fr/">x</a>'),
     (None, "http://notnet/es/", "x" * 100000),
+    (15, "http://me@Friend.org:8080/x", None),
+    (16, "http://other.org:81/", '<a href="http://shop.com:8080/">x</a>'),
 ]
 
 
@@ -95,6 +99,15 @@ def test_rules_and_links(spark):
     assert got[7] == "block" and got[8] == "allow" and got[6] == "block" and got[1] == "allow" and got[2] == "block"
 
 
+def test_far_hosts_are_reached(spark):
+    """Each links to the next; the last is blocked, and so are all, however far."""
+    pages = [(i, f"http://h{i}.org:{i}/", f'<a href="http://h{i + 1}.org/">x</a>') for i in range(9)]
+    pages += [(9, "http://h9.org/", '<a href="http://bad.net/es/">x</a>'), (10, "http://bad.net/es/", "")]
+    got = [r["verdict"] for r in u.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()]
+    assert got == ["block"] * 11
+    check(spark, pages)
+
+
 def test_given_pages(spark):
     check(spark, [tuple(r) for r in cases.table(spark, "pages").select("page_id", "url", "html").collect()])
 
