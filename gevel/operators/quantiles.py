@@ -12,7 +12,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ACCURACY = 20_000
+#: Size of a sketch, and the share of ranks by which it may be off; a bracket that misses is widened, so this is no risk.
+SKETCH, MARGIN = 4096, 0.0025
 #: Values a bracket may hold before it is narrowed once more.
 FEW = 100_000
 
@@ -36,20 +37,23 @@ def _first_row(df: DataFrame, columns: list) -> list:
     return list(df.agg(*[c.alias(f"c{i}") for i, c in enumerate(columns)]).first())
 
 
-def exact_quantiles(
-    df: DataFrame, cols: list[str], probs: list[float], accuracy: int = ACCURACY
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], margin: float = MARGIN) -> DataFrame:
     """``(feature, prob, value)`` with linear interpolation between neighbours.
 
-    A sketch brackets each quantile; plain one-row aggregates then count what lies
-    below the bracket and in it, and narrow brackets that hold more than ``FEW``
-    values. Only the values inside the last bracket are ever shuffled.
+    One mergeable sketch per column brackets all its quantiles; plain one-row
+    aggregates then count what lies below a bracket and in it, and narrow brackets
+    that hold more than ``FEW`` values. Only the values inside the last bracket are
+    ever shuffled.
     """
-    margin = 4.0 / accuracy
     v = {c: F.col(f"`{c}`").cast("double") for c in cols}
 
     def sketch(value, p: float):
-        return F.percentile_approx(value, [max(p - margin, 0.0), min(p + margin, 1.0)], accuracy)
+        # Catalyst builds the sketch of a column once, however many quantiles are asked of it.
+        held = F.kll_sketch_agg_double(value, F.lit(SKETCH))
+        ends = [
+            F.kll_sketch_get_quantile_double(held, F.lit(min(max(p + side, 0.0), 1.0))) for side in (-margin, margin)
+        ]
+        return F.when(F.count(value) > 0, F.array(*ends))
 
     asked = [(c, float(p)) for c in cols for p in probs]
     found = _first_row(
