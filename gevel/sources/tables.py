@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -47,11 +51,17 @@ def _versions(spark: SparkSession, root: str) -> list[int]:
     return sorted(found)
 
 
+class StaleVersion(RuntimeError):
+    """A version that was overtaken while it was written."""
+
+
 def publish(df: DataFrame, root: str, key: str | None = None) -> str:
     """Stage a new version of a table and make it the current one.
 
     Readers take the newest version with a commit marker, so the switch is one
-    atomic step and a failed write leaves the current version in place.
+    atomic step and a failed write leaves the current version in place. A writer that
+    was overtaken by one with a higher number raises ``StaleVersion``: its version was
+    made without knowing the newer one, and no reader will see it.
     """
     spark = df.sparkSession
     if key is not None:
@@ -67,14 +77,62 @@ def publish(df: DataFrame, root: str, key: str | None = None) -> str:
             if error.getCondition() != "PATH_ALREADY_EXISTS":
                 raise
         else:
+            newest = _versions(spark, root)[-1]
+            if newest > version:
+                raise StaleVersion(f"version {version} of {root} was overtaken by version {newest}")
             return path
 
 
-def read_published(spark: SparkSession, root: str) -> DataFrame:
+@contextmanager
+def reading(spark: SparkSession, root: str) -> Iterator[DataFrame]:
+    """The current version, which ``prune`` leaves alone until the block ends.
+
+    The hold is a file beside the versions, so that it counts for other sessions too.
+    """
+    fs, path = _files(spark, root)
+    while True:
+        version = _current(spark, root)
+        hold = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/_readers/{version}/{uuid.uuid4().hex}")
+        fs.create(hold, False).close()
+        if exists(spark, f"{root.rstrip('/')}/version={version}/_SUCCESS"):
+            break
+        fs.delete(hold, False)  # pruned just before it was held: take the one there is now
+    try:
+        yield spark.read.parquet(f"{root.rstrip('/')}/version={version}")
+    finally:
+        fs.delete(hold, False)
+
+
+def prune(spark: SparkSession, root: str) -> list[int]:
+    """Remove versions older than the current one that nobody reads; returns their numbers."""
+    fs, _ = _files(spark, root)
+    gone = []
+    for version in _versions(spark, root)[:-1]:
+        held = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/_readers/{version}")
+        if fs.exists(held) and len(fs.listStatus(held)) > 0:
+            continue
+        at = f"{root.rstrip('/')}/version={version}"
+        # without its marker a version does not count, so that none is seen half removed
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS"), False)
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(at), True)
+        gone.append(version)
+    return gone
+
+
+def _files(spark: SparkSession, root: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def _current(spark: SparkSession, root: str) -> int:
     versions = _versions(spark, root)
     if not versions:
         raise FileNotFoundError(f"nothing published at {root}")
-    return spark.read.parquet(f"{root.rstrip('/')}/version={versions[-1]}")
+    return versions[-1]
+
+
+def read_published(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.parquet(f"{root.rstrip('/')}/version={_current(spark, root)}")
 
 
 def write_csv(df: DataFrame, path: str) -> None:

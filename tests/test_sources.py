@@ -153,3 +153,35 @@ def test_shared_walls_with_copies(spark):
     df = spark.createDataFrame(rows, f"id string, faces {solids.FACES_TYPE}")
     got = {r.id: r.shared_walls_area for r in mesh.shared_walls(df).collect()}
     assert {k: v for k, v in got.items() if abs(v) > 1e-9} == pytest.approx({"a1": 18, "a2": 18, "a3": 18, "b": 54})
+
+
+@pytest.mark.parametrize("overtaken", [False, True])
+def test_two_writers_in_both_orders(spark, overtaken, monkeypatch):
+    """The later number wins whichever ends first; a writer that was overtaken is told."""
+    root = scratch_dir(spark, "two")
+    tables.publish(spark.range(1), root)
+    versions = tables._versions
+    slow, fast = spark.range(10), spark.range(20)
+    if overtaken:  # the slow writer has seen version 1, and writes 2 when 3 is there already
+        fast.write.parquet(f"{root}/version=3")
+        seen = iter([[1]])
+        monkeypatch.setattr(tables, "_versions", lambda s, r: next(seen, None) or versions(s, r))
+        with pytest.raises(tables.StaleVersion):
+            tables.publish(slow, root)
+    else:
+        tables.publish(slow, root)
+        assert tables.read_published(spark, root).count() == 10
+        tables.publish(fast, root)
+    assert tables.read_published(spark, root).count() == 20
+
+
+def test_what_is_read_is_not_removed(spark):
+    root = scratch_dir(spark, "held")
+    tables.publish(spark.range(1), root)
+    with tables.reading(spark, root) as first:
+        tables.publish(spark.range(2), root)
+        tables.publish(spark.range(3), root)
+        assert tables.prune(spark, root) == [2]
+        assert first.count() == 1 and tables.read_published(spark, root).count() == 3
+    assert tables.prune(spark, root) == [1] and tables.prune(spark, root) == []
+    assert tables.read_published(spark, root).count() == 3
