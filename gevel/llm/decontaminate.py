@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import pickle
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,8 +14,10 @@ from gevel.llm.common import ALNUM, keep_table, map_arrow, same_doc, text_hash,
 WINDOW = 10
 #: Words of a block in the shift tables.
 BLOCK = 3
-#: Bytes of item texts that are searched for in one pass over the documents.
+#: Bytes of item texts that are searched for in one pass over the documents; tables take some eight times that, unlike words included.
 PASS_BYTES = 16 << 20
+#: What mixes word numbers.
+_TIMES, _ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 FOUND = "n_words long, hits array<struct<start:long,end:long>>, items array<string>"
 
@@ -25,45 +26,75 @@ def item_words(text: bytes | None) -> list[bytes]:
     return [w for words in word_chunks(text or b"", ALNUM) for w in words]
 
 
+def _mixed(ids: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of word numbers, best in its leading bits."""
+    out = np.zeros(len(ids), np.uint64)
+    for column in ids.T.astype(np.uint64):
+        out = (out + column + np.uint64(1)) * np.uint64(_TIMES)
+    return out
+
+
+def _leading(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
+
+
 class Length:
-    """Wu-Manber tables for the test strings of one length, in numbered words."""
-
-    def __init__(self, size: int):
-        self.size = size
-        self.block = min(BLOCK, size)
-        self.longest = size - self.block + 1
-        self.shift: dict[tuple, int] = {}
-        self.bucket: dict[tuple, list[tuple[tuple, set[int]]]] = defaultdict(list)
-        self.owners: dict[tuple, set[int]] = {}
-
-    def add(self, window: tuple, item: int) -> None:
-        if window in self.owners:
-            self.owners[window].add(item)
-            return
-        self.owners[window] = {item}
-        for end in range(self.block, self.size + 1):
-            key = window[end - self.block : end]
-            self.shift[key] = min(self.shift.get(key, self.longest), self.size - end)
-        self.bucket[window[-self.block :]].append((window, self.owners[window]))
-
-    def search(self, ids: list, emit: Callable[[int, set[int]], None]) -> None:
-        """Calls ``emit`` with the first position and the owners of every occurrence."""
-        size, block, longest, shift, bucket = self.size, self.block, self.longest, self.shift, self.bucket
+    """Wu-Manber tables for the test strings of one length, in numbered words.
+
+    Flat arrays: the least shift of a block by its hash, and test strings by the hash of
+    their last block, as rows of word numbers with their items.
+    """
+
+    def __init__(self, windows: np.ndarray, owners: np.ndarray):
+        """``windows`` has a row of word numbers for each test string, ``owners`` its item."""
+        self.size = size = windows.shape[1]
+        self.block = block = min(BLOCK, size)
+        longest = size - block + 1
+        own, which = np.unique(windows, axis=0, return_inverse=True)
+        # tables grow with the test strings: two to four slots for each of their blocks, one for each suffix
+        self.bits = max(16, int(len(own) * longest).bit_length() + 1)
+        self.few = max(8, len(own).bit_length())
+        suffix = _leading(_mixed(own[:, size - block :]), self.few)
+        order = np.argsort(suffix, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.windows = own[order].astype(np.int32)
+        self.bucket = np.searchsorted(suffix[order], np.arange((1 << self.few) + 1)).astype(np.int32)
+        shift = np.full(1 << self.bits, longest, np.uint8)
+        for end in range(block, size + 1):  # the least shift of a block is set last
+            shift[_leading(_mixed(own[:, end - block : end]), self.bits)] = size - end
+        self.shift = shift.tobytes()
+        pairs = np.unique(np.stack([place[which.ravel()], owners]), axis=1)
+        self.items = pairs[1].astype(np.int32)
+        self.held = np.searchsorted(pairs[0], np.arange(len(own) + 1)).astype(np.int32)
+
+    def search(self, ids: list, emit: Callable[[int, list[int]], None]) -> None:
+        """Calls ``emit`` with the first position and the items of every occurrence."""
+        size, block, shift, bits, few = self.size, self.block, self.shift, 64 - self.bits, 64 - self.few
         at, n = size, len(ids)
         while at <= n:
             if ids[at - 1] is None:  # no test string holds this word
                 at += size
                 continue
-            key = tuple(ids[at - block : at])
-            step = shift.get(key, longest)
-            if step == 0:
-                here = None
-                for window, owners in bucket[key]:
-                    here = here or tuple(ids[at - size : at])
-                    if here == window:
-                        emit(at - size, owners)
-                step = 1
-            at += step
+            key = 0
+            for word in ids[at - block : at]:
+                if word is None:
+                    break
+                key = (key + word + 1) * _TIMES & _ALL
+            else:
+                step = shift[key >> bits]
+                if step == 0:
+                    step, slot = 1, key >> few
+                    low, high = int(self.bucket[slot]), int(self.bucket[slot + 1])
+                    here = ids[at - size : at]
+                    if low < high and None not in here:
+                        for k in range(low, high):
+                            if self.windows[k].tolist() == here:
+                                emit(at - size, self.items[self.held[k] : self.held[k + 1]].tolist())
+                at += step
+                continue
+            # no block of a test string holds an unknown word: go on where it is left behind
+            at += size - block + 1
 
 
 class Tables:
@@ -71,13 +102,18 @@ class Tables:
 
     def __init__(self, items: list[tuple[str | None, bytes | None]]):
         self.vocabulary: dict[bytes, int] = {}
-        self.lengths: dict[int, Length] = {}
         self.names = [name for name, _ in items]
+        windows: dict[int, list[np.ndarray]] = {}
+        owners: dict[int, list[np.ndarray]] = {}
         for number, (_, text) in enumerate(items):
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in item_words(text)]
+            if not ids:
+                continue
             size = min(len(ids), WINDOW)
-            for at in range(len(ids) - size + 1 if ids else 0):
-                self.lengths.setdefault(size, Length(size)).add(tuple(ids[at : at + size]), number)
+            rows = np.lib.stride_tricks.sliding_window_view(np.array(ids, np.int32), size)
+            windows.setdefault(size, []).append(rows)
+            owners.setdefault(size, []).append(np.full(len(rows), number))
+        self.lengths = {n: Length(np.concatenate(w), np.concatenate(owners[n])) for n, w in windows.items()}
 
     def find(self, text: bytes | None) -> tuple[int, list[tuple[int, int]], set[int]]:
         """Number of words, merged hit ranges (end exclusive), items that occur."""
@@ -91,7 +127,7 @@ class Tables:
             total += len(words)
             for size, tables in self.lengths.items():
 
-                def emit(at: int, owners: set[int], size: int = size) -> None:
+                def emit(at: int, owners: list[int], size: int = size) -> None:
                     spans.add((first + at, first + at + size))
                     items.update(owners)
 
@@ -113,7 +149,7 @@ def merge(spans) -> list[tuple[int, int]]:
 
 def _search(tables, first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search: Tables = pickle.loads(tables.value)
+        search: Tables = tables.value  # unpacked once by a worker process, for all its tasks
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             n_words, hits, items = [], [], []
@@ -156,7 +192,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("k_hash"), "text")
     for i in range(passes):
         part = [(r[0], r[1].encode()) for r in items.where(F.col("pass") == i).drop("pass").collect()]
-        tables = spark.sparkContext.broadcast(pickle.dumps(Tables(part)))
+        tables = spark.sparkContext.broadcast(Tables(part))
         if i:
             rows, _ = keep_table(rows, "passages")
         rows = map_arrow(rows, _search(tables, i == 0), f"doc_id long, k_hash long, text string, {FOUND}")
