@@ -22,7 +22,8 @@ def plain(rows):
                 gone[i : i + 400] = b"\1" * 400
         runs = sum(1 for i, x in enumerate(gone) if x and (i == 0 or not gone[i - 1]))
         kept = bytes(x for x, g in zip(b, gone) if not g)
-        out.append((d, len(b), sum(gone), runs, hashlib.sha256(kept).hexdigest()))
+        digest = hashlib.sha256(kept).hexdigest()
+        out.append((d, len(b), sum(gone), runs, digest, runs > 0, kept.decode(errors="replace")))
     return sorted(out, key=str)
 
 
