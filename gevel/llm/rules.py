@@ -14,8 +14,8 @@ from gevel.llm.common import keep_table, map_arrow, utf8
 #: Buckets of the n-gram counts, and bytes of an n-gram.
 BUCKETS = 1 << 16
 GRAM = 4
-#: Labelled ids that are sent to every executor; more are joined.
-BROADCAST_ROWS = 4_000_000
+#: Labels that are broadcast at most, some 90 MB in an executor; beyond that Spark joins them as it likes.
+BROADCAST_ROWS = 1_000_000
 #: Steps of the score among which the threshold is chosen.
 STEP = 0.005
 FEWEST_WORDS, REPEATED_SHARE, RUN = 20, 30, 8
