@@ -354,7 +354,8 @@ def nearest_distance(shapes: DataFrame, finest: float = 4.0) -> DataFrame:
     Boxes go first, without outlines. Counts in squares bound how far each shape's
     nearest can be; with that reach it meets the boxes around it in squares of about
     the reach, whatever the density there. The nearest sure point of those boxes bounds
-    it again, and only boxes no further than that are measured by their outlines.
+    it again. The outline in the nearest box is measured, and then those in boxes that
+    are nearer than it turned out to be.
     A shape with copies is at distance 0. The last shape standing alone gets null.
     """
     corner = F.col("rings")[0][0]
@@ -420,9 +421,18 @@ def nearest_distance(shapes: DataFrame, finest: float = 4.0) -> DataFrame:
     # the bound of a shape comes of the few boxes within its reach
     nearest = F.min("sure").over(Window.partitionBy("shape_id"))
     close = pairs.withColumn("nearest", nearest).filter(F.col("apart") <= F.col("nearest") * (1 + 1e-9))
+    close = materialize(close.select("shape_id", "other", "apart"), "close")
     outlines = shapes.select(F.col("shape_id").alias("other"), planar.edges("rings").alias("b_edges"))
     own = shapes.select("shape_id", planar.edges("rings").alias("a_edges"))
-    measured = close.select("shape_id", "other").join(outlines, "other").join(own, "shape_id")
     gap = planar.polygon_distance("a_edges", "b_edges")
-    found = measured.select("shape_id", gap.alias("d")).groupBy("shape_id").agg(F.min("d").alias("closest_distance"))
+
+    def measured(some: DataFrame) -> DataFrame:
+        return some.select("shape_id", "other").join(outlines, "other").join(own, "shape_id").select("shape_id", "other", gap.alias("d"))
+
+    # the nearest box is measured first; of the others only boxes nearer than its outline can matter
+    first = close.groupBy("shape_id").agg(F.min(F.struct("apart", "other")).alias("f"))
+    first = materialize(measured(first.select("shape_id", "f.other")), "first")
+    bound = first.select("shape_id", F.col("other").alias("measured"), "d")
+    rest = close.join(bound, "shape_id").filter((F.col("apart") < F.col("d")) & (F.col("other") != F.col("measured")))
+    found = first.unionByName(measured(rest)).groupBy("shape_id").agg(F.min("d").alias("closest_distance"))
     return copied.unionByName(found)
