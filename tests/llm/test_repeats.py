@@ -71,6 +71,28 @@ def test_empty(spark):
     assert s.remove_repeats(cases.empty(spark)).count() == 0
 
 
+def test_planted_passages_go_by_bytes_not_words(spark):
+    """Of passages of 51 to 90 words both copies go whole from 400 bytes on, and nothing else goes."""
+    rng = np.random.default_rng(6)
+
+    def words(k):
+        return " ".join(bytes(rng.integers(97, 123, rng.integers(2, 10), np.uint8)).decode() for _ in range(k))
+
+    rows, want, sizes = [], {}, []
+    for n in range(51, 91):
+        passage = f" {words(n)} "
+        sizes.append(len(passage))
+        for side in "AB":
+            front, back = words(30) + side, side + words(30)
+            want[len(rows)] = front + ("" if len(passage) >= 400 else passage) + back
+            rows.append((len(rows), front + passage + back, "en", "a", 1))
+        want[len(rows)] = words(150)
+        rows.append((len(rows), want[len(rows)], "en", "a", 1))
+    assert min(sizes) < 400 <= max(sizes)
+    got = {r["doc_id"]: r["kept_text"] for r in s.digest(s.remove_repeats(cases.docs(spark, rows))).collect()}
+    assert got == want
+
+
 def test_multikey_quicksort():
     rng = np.random.default_rng(3)
     texts = [bytes(rng.integers(97, 99, rng.integers(0, 60), np.uint8)) for _ in range(3000)]
