@@ -142,6 +142,17 @@ def test_publish_switches_and_guards(spark):
     assert tables.read_published(spark, root).count() == 5
 
 
+def test_publish_in_a_session_without_markers(spark):
+    root = scratch_dir(spark, "unmarked")
+    spark.conf.set(tables.MARKER, "false")
+    try:
+        for n in (3, 5):
+            tables.publish(spark.range(n), root, key="id")
+            assert tables.read_published(spark, root).count() == n
+    finally:
+        spark.conf.unset(tables.MARKER)
+
+
 def test_shared_walls_with_copies(spark):
     def house(i, x0, x1):
         pts = [(x, y, z) for z in (0.0, 3.0) for x, y in ((x0, 0.0), (x1, 0.0), (x1, 6.0), (x0, 6.0))]
