@@ -201,3 +201,12 @@ def test_crowded_neighbours_against_all_pairs(spark, monkeypatch):
         far = np.hypot(*np.maximum(0, np.maximum(low - p, p - high)).T)
         want = [int((far <= x).sum()) - 1 for x in (5, 20, 100)]
         assert [r.no_neighbours_5m, r.no_neighbours_20m, r.no_neighbours_100m] == want
+
+
+def test_pairs_are_shuffled_not_broadcast(spark):
+    """However small Spark takes a side to be, outlines of a whole table do not go through the driver."""
+    at = F.col("id") * 5.0
+    t = spark.range(40).select(F.format_string("r%03d", "id").alias("bag_id"), grid.planar.rectangle(at, at * 0, at + 5, at * 0 + 5).alias("rings"))
+    pairs = grid.touching_shapes(grid.distinct_shapes(t), [0.1])
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert pairs.filter("touch_0").count() == 78
