@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gevel.functions import hull, labels, planar, solids
 from gevel.operators import grid
+from gevel.operators.lookup import shuffled
 from gevel.plans import extraction, validation
 from gevel.queries import standins as S
 from gevel.queries.registry import query
@@ -208,7 +209,7 @@ def _(spark, d):
     shapes = grid.distinct_shapes(S.buildings(spark, d))
     pairs = grid.touching_shapes(shapes, [0.1]).filter("touch_0")
     sizes = S.boxes(spark, d).select(F.col("bag_id").alias("b_id"), "p_size")
-    return pairs.join(sizes, "b_id").groupBy("a_id").agg(F.max("p_size").alias("most"))
+    return pairs.join(shuffled(sizes), "b_id").groupBy("a_id").agg(F.max("p_size").alias("most"))
 
 
 @query(

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from gevel.functions import labels
 from gevel.operators import grid
 from gevel.plans import extraction, mesh
+from gevel.queries import spatial  # noqa: F401
+from gevel.queries.registry import QUERIES
 
 
 def city(seed: int, n: int = 90) -> list[tuple]:
@@ -210,3 +212,12 @@ def test_pairs_are_shuffled_not_broadcast(spark):
     pairs = grid.touching_shapes(grid.distinct_shapes(t), [0.1])
     assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
     assert pairs.filter("touch_0").count() == 78
+
+
+def test_the_largest_neighbour_is_looked_up_without_a_broadcast(spark, tmp_path):
+    spark.range(60).selectExpr(
+        "id as p_partkey", "cast(id % 7 as int) as p_size", "cast(id as double) as p_retailprice", "'n' as p_name"
+    ).write.parquet(f"{tmp_path}/part.parquet")
+    found = QUERIES["a3_max_over_neighbours"](spark, str(tmp_path))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() > 0
