@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gevel.functions import hull, planar, scalars, solids
-from gevel.operators.lookup import assign_from, one_per_key
+from gevel.operators.lookup import assign_from, one_per_key, shuffled
 from gevel.plans import extraction
 from gevel.sources.attributes import attribute, attributes_wide, by_object
 
@@ -93,8 +93,8 @@ def roof_area_from_model(objects: DataFrame, thematic: DataFrame, geometry: Data
     faces = geometry.select(F.col("root_id").alias("lod2_multi_surface_id"), "rings")
     return (
         objects.select("id", F.col("gmlid").alias("bag_id"))
-        .join(roofs, F.col("id") == F.col("building_id"))
-        .join(faces, "lod2_multi_surface_id")
+        .join(shuffled(roofs), F.col("id") == F.col("building_id"))
+        .join(shuffled(faces), "lod2_multi_surface_id")
         .groupBy("bag_id")
         .agg(F.sum(planar.area("rings")).alias("roof_area_lod1_postgis"))
     )
@@ -109,11 +109,11 @@ def stated_surface_areas(
     held = (
         objects.select("id", F.col("gmlid").alias("bag_id"))
         .join(
-            thematic.filter(F.col("objectclass_id").isin(ROOF_CLASS, WALL_CLASS)),
+            shuffled(thematic.filter(F.col("objectclass_id").isin(ROOF_CLASS, WALL_CLASS))),
             F.col("id") == F.col("building_id"),
         )
-        .join(faces, "lod2_multi_surface_id")
-        .join(areas, "cityobject_id")
+        .join(shuffled(faces), "lod2_multi_surface_id")
+        .join(shuffled(areas), "cityobject_id")
     )
     value = scalars.parse_double(F.col("lod2_area"))
     return held.groupBy("bag_id").agg(
