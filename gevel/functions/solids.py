@@ -6,8 +6,11 @@ per face its kind and its closed rings, the outline first.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -161,57 +164,71 @@ def lowest(points: Column) -> Column:
     return F.array_min(F.transform(points, lambda p: p["z"]))
 
 
-def _hull_volume(pts: np.ndarray) -> float:
-    """Volume of the convex hull by adding points to a tetrahedron."""
-    pts = np.unique(np.round(pts, 9), axis=0)
-    if len(pts) < 4:
+def _hull_of(points: list[tuple[float, float, float]]) -> float:
+    """Volume of the convex hull by adding points to a tetrahedron; plain numbers, as solids have few points."""
+    found = sorted(set(points))
+    n = len(found)
+    if n < 4:
         return 0.0
-    pts = pts - pts.mean(axis=0)
-    scale = float(np.abs(pts).max()) or 1.0
+    mx, my, mz = (sum(axis) / n for axis in zip(*found))
+    if not all(map(math.isfinite, (mx, my, mz))):
+        return math.nan
+    pts = [(x - mx, y - my, z - mz) for x, y, z in found]
+    scale = max(max(map(abs, p)) for p in pts) or 1.0
     eps = 1e-10 * scale
+
+    def cross(p, q, r):
+        ux, uy, uz = q[0] - p[0], q[1] - p[1], q[2] - p[2]
+        vx, vy, vz = r[0] - p[0], r[1] - p[1], r[2] - p[2]
+        return uy * vz - uz * vy, uz * vx - ux * vz, ux * vy - uy * vx
+
+    def above(normal, p, q):
+        return normal[0] * (q[0] - p[0]) + normal[1] * (q[1] - p[1]) + normal[2] * (q[2] - p[2])
+
     a = pts[0]
-    b = pts[np.argmax(np.linalg.norm(pts - a, axis=1))]
-    c = pts[np.argmax(np.linalg.norm(np.cross(pts - a, b - a), axis=1))]
-    normal = np.cross(b - a, c - a)
-    heights = (pts - a) @ normal
-    d = pts[np.argmax(np.abs(heights))]
-    if np.abs(heights).max() <= eps * max(np.linalg.norm(normal), eps):
+    b = max(pts, key=lambda p: math.dist(p, a))
+    c = max(pts, key=lambda p: math.hypot(*cross(a, p, b)))
+    normal = cross(a, b, c)
+    d = max(pts, key=lambda p: abs(above(normal, a, p)))
+    if abs(above(normal, a, d)) <= eps * max(math.hypot(*normal), eps):
         return 0.0
-    centre = (a + b + c + d) / 4
+    centre = tuple(sum(axis) / 4 for axis in zip(a, b, c, d))
+
+    def facing(p, q, r):
+        n = cross(p, q, r)
+        return p, q, r, n, eps * max(math.hypot(*n), eps)
 
     def outward(p, q, r):
-        n = np.cross(q - p, r - p)
-        return (p, r, q) if n @ (p - centre) < 0 else (p, q, r)
+        return facing(p, r, q) if above(cross(p, q, r), centre, p) < 0 else facing(p, q, r)
 
     tris = [outward(*t) for t in ((a, b, c), (a, b, d), (a, c, d), (b, c, d))]
     for p in pts:
-        seen, rest = [], []
-        for t in tris:
-            n = np.cross(t[1] - t[0], t[2] - t[0])
-            lit = n @ (p - t[0]) > eps * max(float(np.linalg.norm(n)), eps)
-            (seen if lit else rest).append(t)
+        seen = [t for t in tris if above(t[3], t[0], p) > t[4]]
         if not seen:
             continue
+        lit = set(map(id, seen))
         sides = {}
-        for t in seen:
-            for q, r in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0])):
-                q, r = tuple(q), tuple(r)
-                if (r, q) in sides:
-                    del sides[(r, q)]
+        for q, r, s, *_ in seen:
+            for side in ((q, r), (r, s), (s, q)):
+                if side[::-1] in sides:
+                    del sides[side[::-1]]
                 else:
-                    sides[(q, r)] = True
-        tris = rest + [(np.array(q), np.array(r), p) for q, r in sides]
-    return abs(sum(float(t[0] @ np.cross(t[1], t[2])) for t in tris)) / 6.0
+                    sides[side] = True
+        tris = [t for t in tris if id(t) not in lit] + [facing(q, r, p) for q, r in sides]
+    zero = (0.0, 0.0, 0.0)
+    return abs(sum(above(cross(zero, t[1], t[2]), zero, t[0]) for t in tris)) / 6.0
+
 
+def _hull_volume(pts: np.ndarray) -> float:
+    return _hull_of([tuple(p) for p in np.round(pts, 9).tolist()])
 
-@F.pandas_udf(T.DoubleType())
-def hull_volume(points: pd.Series) -> pd.Series:
+
+@F.arrow_udf(T.DoubleType())
+def hull_volume(points: pa.Array) -> pa.Array:
     """Volume of the convex hull of the points of a solid."""
-    return points.map(
-        lambda ps: None
-        if ps is None
-        else _hull_volume(np.array([[p["x"], p["y"], p["z"]] for p in ps], dtype=float).reshape(-1, 3))
-    )
+    axes = [np.round(c.to_numpy(zero_copy_only=False).astype(float), 9).tolist() for c in points.values.flatten()]
+    every, ends, known = list(zip(*axes)), points.offsets.to_pylist(), points.is_valid().to_pylist()
+    return pa.array([_hull_of(every[i:j]) if k else None for i, j, k in zip(ends, ends[1:], known)], pa.float64())
 
 
 def open_edges(faces: Column) -> Column:
@@ -220,7 +237,11 @@ def open_edges(faces: Column) -> Column:
     def sides(ring: Column) -> Column:
         n = F.greatest(F.size(ring) - 1, F.lit(0))
         near = F.transform(ring, lambda p: F.struct(*[F.round(p[a], 6).alias(a) for a in "xyz"]))
-        pairs = F.arrays_zip(F.slice(near, F.lit(1), n).alias("p"), F.slice(near, F.lit(2), n).alias("q"))
+        # The one-element transform rounds once.
+        pairs = F.transform(
+            F.array(near),
+            lambda r: F.arrays_zip(F.slice(r, F.lit(1), n).alias("p"), F.slice(r, F.lit(2), n).alias("q")),
+        )[0]
         return F.transform(
             F.filter(pairs, lambda e: e["p"] != e["q"]),
             lambda e: F.struct(F.least(e["p"], e["q"]).alias("p"), F.greatest(e["p"], e["q"]).alias("q")),
