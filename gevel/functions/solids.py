@@ -73,14 +73,18 @@ def _face_vector(rings: Column) -> Column:
 
 def surface_area(rings: Column) -> Column:
     """Area of a planar face in space, holes taken off."""
-    return _norm(_face_vector(rings)) / 2.0
+    # The one-element transform evaluates the vector once, not for each factor.
+    return F.transform(F.array(_face_vector(rings)), _norm)[0] / 2.0
 
 
 def volume(faces: Column) -> Column:
     """Volume of a closed solid, from signed cones over its faces."""
     origin = faces[0]["rings"][0][0]
     cones = F.transform(
-        faces, lambda f: _dot(_minus(f["rings"][0][0], origin), _face_vector(f["rings"]))
+        faces,
+        lambda f: F.transform(
+            F.array(_face_vector(f["rings"])), lambda v: _dot(_minus(f["rings"][0][0], origin), v)
+        )[0],
     )
     return F.abs(F.aggregate(cones, F.lit(0.0), lambda acc, c: acc + c)) / 6.0
 

@@ -53,3 +53,11 @@ def test_tiles_are_merged_in_one_pass(spark):
     assert "Join" not in merged._jdf.queryExecution().executedPlan().toString()
     got = sorted((r.object_id, r.tile, r.faces[0]) for r in merged.collect())
     assert got[:2] == [("a", "t1", 1), ("b", "t2", 4)] and len(got) == 3 and got[2][0] == "c"
+
+
+def test_face_vectors_are_evaluated_once(spark):
+    """Once for an area and once for a volume, however often its parts are used."""
+    t = spark.createDataFrame([], f"faces {solids.FACES_TYPE}")
+    for column in (solids.area_of(F.col("faces"), solids.WALL), solids.volume(F.col("faces"))):
+        plan = t.select(column.alias("v"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("zip_with(") == 1
