@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,8 +77,8 @@ def _faces(geometry: Column, vertices: Column, scale: Column, translate: Column)
         )
 
     def closed(ring: Column) -> Column:
-        points = F.transform(ring, point)
-        return F.concat(points, F.slice(points, 1, 1))
+        # The one-element transform looks the points up once.
+        return F.transform(F.array(F.transform(ring, point)), lambda p: F.concat(p, F.slice(p, 1, 1)))[0]
 
     # Each kind nests its faces, and their numbers, one level deeper than the one before.
     boundaries, values = geometry["boundaries"], geometry["semantics"]["values"]
@@ -92,13 +92,17 @@ def _faces(geometry: Column, vertices: Column, scale: Column, translate: Column)
         .when(is_solid, F.flatten(F.from_json(values, "array<array<int>>")))
         .otherwise(F.from_json(values, "array<int>"))
     )
+    # The one-element transform parses the numbers of the kinds once, not for every face.
     return F.transform(
-        rings,
-        lambda face, i: F.struct(
-            F.get(geometry["semantics"]["surfaces"], F.get(kinds, i))["type"].alias("surface"),
-            F.transform(face, closed).alias("rings"),
+        F.array(kinds),
+        lambda numbers: F.transform(
+            rings,
+            lambda face, i: F.struct(
+                F.get(geometry["semantics"]["surfaces"], F.get(numbers, i))["type"].alias("surface"),
+                F.transform(face, closed).alias("rings"),
+            ),
         ),
-    )
+    )[0]
 
 
 def other_geometries(tiles: DataFrame) -> DataFrame:
@@ -167,12 +171,15 @@ def merge_tiles(objects: DataFrame) -> DataFrame:
     It comes whole from the tile whose path sorts first, so that tiles that differ give
     the same model in whatever order they are read. Where one path holds an object
     twice, the smaller hash of its content counts. See :func:`tile_conflicts`.
+    Tiles are read and shuffled once: of every geometry the first tile's is kept, and of
+    these the ones of the object's first tile stay.
     """
-    owner = objects.groupBy("object_id").agg(F.min("tile").alias("tile"))
-    own = objects.join(owner, ["object_id", "tile"], "left_semi")
+    known = objects.filter("object_id is not null and tile is not null").repartition("object_id")
     rest = [c for c in objects.columns if c not in GEOMETRY_KEY]
-    picked = own.groupBy(*GEOMETRY_KEY).agg(F.min_by(F.struct(*rest), _content()).alias("o"))
-    return picked.select(*[c if c in GEOMETRY_KEY else f"o.{c}" for c in objects.columns])
+    picked = known.groupBy(*GEOMETRY_KEY).agg(F.min_by(F.struct(*rest), F.struct("tile", _content())).alias("o"))
+    owner = F.min("o.tile").over(Window.partitionBy("object_id"))
+    own = picked.withColumn("owner", owner).filter(F.col("o.tile") == F.col("owner"))
+    return own.select(*[c if c in GEOMETRY_KEY else f"o.{c}" for c in objects.columns])
 
 
 def tile_conflicts(objects: DataFrame) -> DataFrame:
