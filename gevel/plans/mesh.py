@@ -50,42 +50,45 @@ def solid_metrics(objects: DataFrame) -> DataFrame:
     return measured.select("*", short.alias("obb_width"), long.alias("obb_length")).drop("box")
 
 
-def _clip(subject: np.ndarray, clip: np.ndarray) -> np.ndarray:
+def _clip(subject: list, clip: list) -> list:
     """Part of a polygon inside a counter-clockwise triangle."""
     out = subject
-    for a, b in zip(clip, np.roll(clip, -1, axis=0)):
-        if not len(out):
+    for k, (bx, by) in enumerate(clip):
+        if not out:
             break
-        side = (b[0] - a[0]) * (out[:, 1] - a[1]) - (b[1] - a[1]) * (out[:, 0] - a[0])
-        nxt, nxt_side = np.roll(out, -1, axis=0), np.roll(side, -1)
+        ax, ay = clip[k - 1]
+        side = [(bx - ax) * (y - ay) - (by - ay) * (x - ax) for x, y in out]
         kept = []
-        for p, q, s, t in zip(out, nxt, side, nxt_side):
+        for p, q, s, t in zip(out, out[1:] + out[:1], side, side[1:] + side[:1]):
             if s >= 0:
                 kept.append(p)
             if (s > 0 > t) or (s < 0 < t):
-                kept.append(p + (q - p) * (s / (s - t)))
-        out = np.array(kept).reshape(-1, 2)
+                f = s / (s - t)
+                kept.append((p[0] + (q[0] - p[0]) * f, p[1] + (q[1] - p[1]) * f))
+        out = kept
     return out
 
 
-def _area(p: np.ndarray) -> float:
-    x, y = p[:, 0], p[:, 1]
-    return float(x @ np.roll(y, -1) - y @ np.roll(x, -1)) / 2
+def _area(p: list) -> float:
+    return sum(x * v - y * u for (x, y), (u, v) in zip(p, p[1:] + p[:1])) / 2
 
 
 def overlap_area(a: np.ndarray, b: np.ndarray) -> float:
-    """Common area of two simple polygons, over signed fans of triangles."""
+    """Common area of two simple polygons, over signed fans of triangles; plain numbers, as walls have few corners."""
+    if ((a.max(axis=0) <= b.min(axis=0)) | (b.max(axis=0) <= a.min(axis=0))).any():
+        return 0.0
 
     def fan(p):
         for i in range(1, len(p) - 1):
-            t = p[[0, i, i + 1]]
+            t = [p[0], p[i], p[i + 1]]
             s = _area(t)
             if s:
                 yield (1 if s > 0 else -1), (t if s > 0 else t[::-1])
 
     total = 0.0
-    for s, t in fan(a):
-        for r, u in fan(b):
+    others = list(fan(b.tolist()))
+    for s, t in fan(a.tolist()):
+        for r, u in others:
             common = _clip(t, u)
             if len(common) > 2:
                 total += s * r * _area(common)
