@@ -229,10 +229,11 @@ def _hull_volume(pts: np.ndarray) -> float:
 
 @F.arrow_udf(T.DoubleType())
 def hull_volume(points: pa.Array) -> pa.Array:
-    """Volume of the convex hull of the points of a solid."""
+    """Volume of the convex hull of the points of a solid; null where a coordinate is missing."""
     axes = [np.round(c.to_numpy(zero_copy_only=False).astype(float), 9).tolist() for c in points.values.flatten()]
     every, ends, known = list(zip(*axes)), points.offsets.to_pylist(), points.is_valid().to_pylist()
-    return pa.array([_hull_of(every[i:j]) if k else None for i, j, k in zip(ends, ends[1:], known)], pa.float64())
+    found = [_hull_of(every[i:j]) if k else None for i, j, k in zip(ends, ends[1:], known)]
+    return pa.array(found, pa.float64(), from_pandas=True)  # NaN as null
 
 
 def open_edges(faces: Column) -> Column:

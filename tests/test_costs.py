@@ -26,9 +26,10 @@ def test_hull_volume_of_many_solids(spark):
     assert {round(solids._hull_volume(CORNERS), 6) for _ in range(1000)} == {495.0}
     assert time.process_time() - began < 1.0  # 4.5 s when numpy handled three numbers at a time
     rows = [(1, [tuple(map(float, p)) for p in CORNERS]), (2, None), (3, []), (4, [tuple(map(float, p)) for p in CORNERS * 2])]
+    rows.append((5, [(None if i < 4 else x, y, z) for i, (x, y, z) in enumerate(CORNERS.tolist())]))
     t = spark.createDataFrame(rows, "id int, p array<struct<x:double,y:double,z:double>>").coalesce(1)
     got = dict(t.select("id", solids.hull_volume("p")).collect())
-    assert got == {1: pytest.approx(495), 2: None, 3: 0.0, 4: pytest.approx(3960)}
+    assert got == {1: pytest.approx(495), 2: None, 3: 0.0, 4: pytest.approx(3960), 5: None}
 
 
 def test_overlap_of_many_walls():
